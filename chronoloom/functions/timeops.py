@@ -18,7 +18,7 @@ def _col(c: ColumnLike) -> Column:
 
 def day_diff(earlier: ColumnLike, later: ColumnLike) -> Column:
     """Calendar days from one value to the other; midnight is the boundary."""
-    return F.datediff(F.to_date(_col(later)), F.to_date(_col(earlier)))
+    return F.datediff(F.to_date(_col(later)), F.to_date(_col(earlier))).cast("bigint")
 
 
 def boundary_diff(unit: str, earlier: ColumnLike, later: ColumnLike) -> Column:
@@ -27,7 +27,7 @@ def boundary_diff(unit: str, earlier: ColumnLike, later: ColumnLike) -> Column:
     From 10:00:59 to 10:01:01 one minute boundary is crossed although two seconds passed.
     """
     a, b = _col(earlier), _col(later)
-    days = day_diff(a, b).cast("bigint")
+    days = day_diff(a, b)
     unit = unit.lower()
     if unit == "day":
         return days

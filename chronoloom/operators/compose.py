@@ -42,7 +42,7 @@ def merge_metrics(
 
 
 def share_and_rank(
-    df: DataFrame, group: Iterable[str], value: str, tie_free_rank: str, total: str, share: str
+    df: DataFrame, group: Iterable[str], value: str, rank: str, total: str, share: str
 ) -> DataFrame:
     """Total of a group, each row's percentage of it and its rank by value.
 
@@ -53,7 +53,9 @@ def share_and_rank(
     return df.withColumns(
         {
             total: F.sum(value).over(whole),
-            tie_free_rank: F.rank().over(whole.orderBy(F.col(value).desc_nulls_last())),
+            rank: F.rank()
+            .over(whole.orderBy(F.col(value).desc_nulls_last()))
+            .cast("bigint"),
         }
     ).withColumn(share, ratio(F.col(value), F.col(total)) * 100)
 

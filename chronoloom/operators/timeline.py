@@ -202,7 +202,9 @@ class Timeline:
         functions = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}
         by_value = Window.partitionBy(*self._cells).orderBy(*_sort_keys(self.order[:1]))
         own = {
-            name: functions[kind]().over(self._window() if kind == "row_number" else by_value)
+            name: functions[kind]()
+            .over(self._window() if kind == "row_number" else by_value)
+            .cast("bigint")
             for name, kind in names.items()
         }
         if not self.sliced:
@@ -215,8 +217,7 @@ class Timeline:
         }
         joined = replace(self, df=ranked)._carry_in(ranked, per_slice, dict.fromkeys(names, F.sum))
         combined = {
-            name: (F.col(name) + F.coalesce(F.col(f"_in_{name}"), F.lit(0))).cast("int")
-            for name in names
+            name: F.col(name) + F.coalesce(F.col(f"_in_{name}"), F.lit(0)) for name in names
         }
         return replace(
             self, df=joined.withColumns(combined).drop(*(f"_in_{name}" for name in names))

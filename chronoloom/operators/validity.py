@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import month_start
 from chronoloom.operators.dedup import keep_latest
 
+# Versions of one key that may sit in one array.
+VERSIONS_PER_KEY = 128
+
 
 def interval_match_best(
     facts: DataFrame,
@@ -31,29 +34,39 @@ def interval_match_best(
     version columns to output names. With ``fact_id`` the result has one row per id: the one with
     the preferred version, then the first in ``fact_order``.
 
-    Versions are cut at month borders. Per (key, month) only the preferred version of each
-    distinct day span is kept, by an aggregate that combines before the shuffle, so a month holds
-    at most 31 * 32 / 2 + 31 spans however many versions there are. Spans become one array row per
-    (key, month), and the join on (key, month) returns exactly one row per fact: no pairs to
-    produce and to reduce again, and the facts of a busy key spread over its months.
+    Candidates come to a fact as one array, so the join returns exactly one row per fact: there
+    are no pairs to produce and to reduce again, and no shuffle to do so. Where every key has few
+    versions (counted first) the array holds the versions of the key; a version table with larger
+    groups is cut into months (see ``_spans_by_month``).
     """
     for bound in (start, end):
         if versions.schema[bound].dataType.typeName() != "date":
             raise TypeError(f"{bound} must be a date")
     prefer = list(prefer)
     inputs = list(facts.columns)
-    spans = _month_spans(facts, versions, key, at, prefer, dict(take), start, end)
+    # Bounds in the type of the fact's time, so that they are not converted for every comparison.
+    kind = facts.schema[at].dataType
+    known = versions.select(
+        F.col(key).alias("_span_key"),
+        F.col(start).cast(kind).alias("from"),
+        F.col(end).cast(kind).alias("until"),
+        F.struct(
+            *(F.col(c).alias(f"p{i}") for i, c in enumerate(prefer)),
+            F.struct(*(F.col(c).alias(name) for c, name in take.items())).alias("take"),
+        ).alias("best"),
+    ).filter(F.col("_span_key").isNotNull() & (F.col("from") <= F.col("until")))
+    same = F.col(key) == F.col("_span_key")
+    if _has_large_groups(versions, key):
+        spans = _spans_by_month(known, facts, at)
+        same = same & (month_start(at) == F.col("_span_month"))
+    else:
+        spans = known.groupBy("_span_key").agg(_gather_spans())
     moment = F.col(at)
     covering = F.filter(
         F.col("_spans"), lambda s: (s["from"] <= moment) & (moment <= s["until"])
     )
     matched = (
-        facts.withColumn("_month", month_start(at))
-        .join(
-            spans,
-            (F.col(key) == F.col("_span_key")) & (F.col("_month") == F.col("_span_month")),
-            "left",
-        )
+        facts.join(spans, same, "left")
         .withColumn("_best", F.array_max(F.transform(covering, lambda s: s["best"])))
     )
     fact_id = list(fact_id)
@@ -64,47 +77,41 @@ def interval_match_best(
     )
 
 
-def _month_spans(
-    facts: DataFrame,
-    versions: DataFrame,
-    key: str,
-    at: str,
-    prefer: list[str],
-    take: dict[str, str],
-    start: str,
-    end: str,
-) -> DataFrame:
-    # Only months that facts can fall in: an open-ended version does not become 96,000 rows.
+def _has_large_groups(versions: DataFrame, key: str) -> bool:
+    sizes = versions.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return not sizes.filter(F.col("_rows") > VERSIONS_PER_KEY).isEmpty()
+
+
+def _gather_spans() -> Column:
+    return F.collect_list(F.struct("from", "until", "best")).alias("_spans")
+
+
+def _spans_by_month(known: DataFrame, facts: DataFrame, at: str) -> DataFrame:
+    """Versions cut at month borders, one array per key and month.
+
+    Per month only the preferred version of each distinct day span is kept, by an aggregate that
+    combines before the shuffle, so an array holds at most 31 * 32 / 2 + 31 spans however many
+    versions a key has, and the facts of a busy key spread over its months.
+    """
+    # Only months that facts fall in: an open-ended version does not become 96,000 rows.
     first_month = facts.select(month_start(F.min(at))).scalar()
     last_month = facts.select(month_start(F.max(at))).scalar()
-    best = F.struct(
-        *(F.col(c).alias(f"p{i}") for i, c in enumerate(prefer)),
-        F.struct(*(F.col(c).alias(name) for c, name in take.items())).alias("take"),
-    )
-    in_month = (
-        versions.select(
-            F.col(key).alias("_span_key"),
-            F.col(start).alias("_start"),
-            F.col(end).alias("_end"),
-            best.alias("_best"),
-        )
-        .filter(F.col("_start") <= F.col("_end"))
-        .withColumn("_first", F.greatest(month_start("_start"), first_month))
-        .withColumn("_last", F.least(month_start("_end"), last_month))
+    kind = facts.schema[at].dataType
+    return (
+        known.withColumn("_first", F.greatest(month_start("from"), first_month))
+        .withColumn("_last", F.least(month_start("until"), last_month))
         .filter(F.col("_first") <= F.col("_last"))
         .withColumn(
             "_span_month",
             F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))),
         )
-    )
-    return (
-        in_month.groupBy(
+        .groupBy(
             "_span_key",
             "_span_month",
-            F.greatest("_start", "_span_month").alias("from"),
-            F.least("_end", F.add_months("_span_month", 1)).alias("until"),
+            F.greatest("from", F.col("_span_month").cast(kind)).alias("from"),
+            F.least("until", F.add_months("_span_month", 1).cast(kind)).alias("until"),
         )
-        .agg(F.max("_best").alias("best"))
+        .agg(F.max("best").alias("best"))
         .groupBy("_span_key", "_span_month")
-        .agg(F.collect_list(F.struct("from", "until", "best")).alias("_spans"))
+        .agg(_gather_spans())
     )

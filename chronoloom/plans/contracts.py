@@ -1,5 +1,10 @@
 """Facts priced or classified by the version valid at their time: subscriptions, contracts,
-price lists, warranties, licences and campaigns."""
+price lists, warranties, licences and campaigns.
+
+Of versions of a key that start on the same day only the one that ends last is meant to count.
+A match needs no step for that: such a version covers whatever the others cover, and the order of
+preference (end and start, then ``version_tie``, largest first) picks it.
+"""
 
 from __future__ import annotations
 
@@ -75,22 +80,22 @@ def subscription_churn_risk(
 
 def resolved_logs(
     subscriptions: DataFrame, logs: DataFrame, *, log_order: Iterable[str] = (),
-    version_tie: Iterable[str] = ("-subscription_id",),
+    version_tie: Iterable[str] = ("subscription_id",),
 ) -> DataFrame:
     """Each log once, with the subscription valid at its time (the one that ends last)."""
     return interval_match_best(
         keep_latest(logs, ["log_id"], ["-log_date", *log_order]),
-        _clean(subscriptions, "customer_id", version_tie),
+        subscriptions,
         key="customer_id",
         at="log_date",
-        prefer=["end_date", "start_date"],
+        prefer=["end_date", "start_date", *version_tie],
         take={"subscription_id": "subscription_id", "monthly_fee": "monthly_fee"},
     )
 
 
 def subscription_activity(
     subscriptions: DataFrame, usage: DataFrame, invoices: DataFrame, *,
-    version_tie: Iterable[str] = ("-subscription_id",), ordered: bool = False,
+    version_tie: Iterable[str] = ("subscription_id",), ordered: bool = False,
 ) -> DataFrame:
     """Active days, events and paid revenue per customer and month; churn without active days.
 
@@ -99,7 +104,8 @@ def subscription_activity(
     invoice_date, amount, status).
     """
     keys = ["customer_id", "mes"]
-    clean = _clean(subscriptions, "customer_id", version_tie).withColumn(
+    latest_first = [f"-{c}" for c in version_tie]
+    clean = _clean(subscriptions, "customer_id", latest_first).withColumn(
         "mes", month_start("start_date")
     )
     days = inclusive_days("start_date", F.least("end_date", month_end("start_date")))
@@ -130,10 +136,10 @@ def contract_billing(
     """
     priced = interval_match_best(
         bills,
-        _clean(contracts, "contract_id", version_tie),
+        contracts,
         key="contract_id",
         at="bill_date",
-        prefer=["end_date", "start_date"],
+        prefer=["end_date", "start_date", *version_tie],
         take={"customer_id": "customer_id", "base_price": "base_price"},
         fact_id=["bill_id"],
         fact_order=bill_order,
@@ -159,16 +165,16 @@ def price_anomaly(
     Input: orders (order_id, product_id, customer_id, order_date, quantity, unit_price), prices
     (product_id, start_date, end_date, price).
     """
-    clean = _clean(prices, "product_id", version_tie)
     lines = keep_latest(orders, ["order_id", "product_id"], ["-order_date", *line_order])
     priced = interval_match_best(
         lines,
-        clean,
+        prices,
         key="product_id",
         at="order_date",
-        prefer=["end_date", "start_date"],
+        prefer=["end_date", "start_date", *version_tie],
         take={"price": "_historical"},
     )
+    clean = _clean(prices, "product_id", [f"-{c}" for c in version_tie])
     means = clean.groupBy(F.col("product_id").alias("_product")).agg(
         F.try_divide(F.sum("price").cast("double"), F.count("price").cast("double")).alias("_mean")
     )
@@ -197,10 +203,10 @@ def resolved_claims(
     of_sale = clean.join(sales.select("sale_id", "customer_id", "product_id"), "sale_id", "left")
     return interval_match_best(
         of_sale,
-        _clean(warranties, "product_id", version_tie),
+        warranties,
         key="product_id",
         at="claim_date",
-        prefer=["end_date", "start_date"],
+        prefer=["end_date", "start_date", *version_tie],
         take={"coverage_level": "coverage_level"},
     )
 
@@ -244,10 +250,10 @@ def license_usage(
     """
     matched = interval_match_best(
         keep_latest(usage, ["event_id"], ["-event_date", *usage_order]),
-        _clean(licenses, "customer_id", version_tie),
+        licenses,
         key="customer_id",
         at="event_date",
-        prefer=["end_date", "start_date"],
+        prefer=["end_date", "start_date", *version_tie],
         take={"price": "price"},
     )
     # Summed per customer and month before the country is looked up: fewer rows to join.
@@ -290,10 +296,10 @@ def effective_price(
     )
     priced = interval_match_best(
         discounted,
-        _clean(prices, "product_id", version_tie),
+        prices,
         key="product_id",
         at="sale_date",
-        prefer=["start_date"],
+        prefer=["start_date", "end_date", *version_tie],
         take={"price": "price"},
     )
     gross = F.col("qty") * F.col("price")

@@ -153,17 +153,17 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "contract_billing": lambda i: _finish(
         contracts.contract_billing(
-            _contracts(i), _bills(i), version_tie=["-base_price"],
+            _contracts(i), _bills(i), version_tie=["customer_id", "base_price"],
             bill_order=["-bill_date", "product_id", "l_suppkey", "l_extendedprice"],
         )
     ),
     "price_anomaly": lambda i: _finish(
         contracts.price_anomaly(
-            i.order_lines(), i.versions(), line_order=_LINE_ORDER, version_tie=["-price"]
+            i.order_lines(), i.versions(), line_order=_LINE_ORDER, version_tie=["price"]
         )
     ),
     "resolved_claims": lambda i: _finish(
-        contracts.resolved_claims(i.sales(), i.versions(), i.claims(), version_tie=["-price"])
+        contracts.resolved_claims(i.sales(), i.versions(), i.claims(), version_tie=["price"])
     ),
     "warranty_claims": lambda i: _finish(
         contracts.warranty_claims(
@@ -173,14 +173,14 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     "license_usage": lambda i: _finish(
         contracts.license_usage(
             _licenses(i), _license_events(i), i.customers(), usage_order=_LOG_ORDER,
-            version_tie=["-license_id"],
+            version_tie=["license_id"],
         )
     ),
     "effective_price": lambda i: _finish(
         contracts.effective_price(
             _priced_sales(i), i.versions(), i.campaigns(),
             sale_order=["-sale_date", "product_id", "l_suppkey", "l_extendedprice"],
-            version_tie=["-price"],
+            version_tie=["price"],
         )
     ),
     # customers
