@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import ratio
+from chronoloom.operators.lookup import lookup_join
 from chronoloom.operators.timeline import Timeline
 
 
@@ -70,14 +71,6 @@ def top_category(category: str, amount: str) -> Column:
     return F.min_by(category, F.struct(-F.col(amount), F.col(category)))
 
 
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast after counting that it has at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def with_group_totals(
     df: DataFrame,
     group: Iterable[str],
@@ -86,20 +79,17 @@ def with_group_totals(
 ) -> DataFrame:
     """Add whole-group aggregates to every row, taken over ``source`` (``df`` by default).
 
-    Aggregated first and joined back, so that a large group is combined before the shuffle; a
-    window would put all its rows into one task. Few groups are counted and broadcast, which
-    leaves the rows where they are; many are joined by key, where AQE splits a large one.
+    Aggregated first and looked up, so that a large group is combined before the shuffle; a
+    window would put all its rows into one task.
     """
     group = list(group)
     facts = df if source is None else source
     per_group = facts.groupBy(*group).agg(*(expr.alias(n) for n, expr in totals.items()))
-    per_group = broadcast_if_small(
-        per_group.select(*(F.col(c).alias(f"_total_{c}") for c in group), *totals)
+    per_group = per_group.select(*(F.col(c).alias(f"_total_{c}") for c in group), *totals)
+    found = lookup_join(
+        df, per_group, {c: f"_total_{c}" for c in group}, null_safe=True, sizes_from=facts
     )
-    same = F.lit(True)
-    for c in group:
-        same = same & F.col(c).eqNullSafe(F.col(f"_total_{c}"))
-    return df.join(per_group, same, "left").drop(*(f"_total_{c}" for c in group))
+    return found.drop(*(f"_total_{c}" for c in group))
 
 
 def resolve_price(price: str, fallback: str) -> Column:

@@ -41,6 +41,16 @@ def hot_row_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
+def hot_groups(df: DataFrame, part: Iterable[str]) -> list:
+    """Groups with more rows than the limit, with their sizes; at most all rows / limit of them."""
+    return (
+        df.groupBy(*part)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > hot_row_limit(df.sparkSession))
+        .collect()
+    )
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them back from there."""
     spark = df.sparkSession
@@ -74,21 +84,23 @@ class Timeline:
         return cls(df, tuple(part), tuple(order))
 
     @classmethod
-    def measured(cls, df: DataFrame, part: Iterable[str], order: Iterable[str]) -> Timeline:
-        """Count rows per group and slice the groups above the limit."""
+    def measured(
+        cls,
+        df: DataFrame,
+        part: Iterable[str],
+        order: Iterable[str],
+        sizes_from: DataFrame | None = None,
+    ) -> Timeline:
+        """Count rows per group and slice the groups above the limit.
+
+        ``sizes_from`` is a cheaper table to count in, with at least as many rows per group.
+        """
         part, order = tuple(part), tuple(order)
-        limit = hot_row_limit(df.sparkSession)
-        # At most (all rows / limit) groups pass this filter, so the collected list is small.
-        hot = (
-            df.groupBy(*part)
-            .agg(F.count(F.lit(1)).alias("_rows"))
-            .filter(F.col("_rows") > limit)
-            .collect()
-        )
+        hot = hot_groups(df if sizes_from is None else sizes_from, part)
         if not hot:
             return cls(df, part, order)
         rows = sum(r["_rows"] for r in hot)
-        slices = max(2, math.ceil(4 * rows / limit))
+        slices = max(2, math.ceil(4 * rows / hot_row_limit(df.sparkSession)))
         return cls(_slice_hot_groups(df, part, order, hot, slices), part, order, sliced=True)
 
     # -- plain steps -----------------------------------------------------------------------

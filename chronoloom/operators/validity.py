@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import month_start
 from chronoloom.operators.dedup import keep_latest
+from chronoloom.operators.lookup import lookup_join
 
 # Versions of one key that may sit in one array.
 VERSIONS_PER_KEY = 128
@@ -26,6 +27,7 @@ def interval_match_best(
     end: str = "end_date",
     fact_id: Iterable[str] = (),
     fact_order: Iterable[str] = (),
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left-join each fact to its best covering version; facts without one keep NULLs.
 
@@ -37,7 +39,8 @@ def interval_match_best(
     Candidates come to a fact as one array, so the join returns exactly one row per fact: there
     are no pairs to produce and to reduce again, and no shuffle to do so. Where every key has few
     versions (counted first) the array holds the versions of the key; a version table with larger
-    groups is cut into months (see ``_spans_by_month``).
+    groups is cut into months (see ``_spans_by_month``). Few versions in all are broadcast; else
+    see ``lookup_join`` for keys with very many facts and for ``sizes_from``.
     """
     for bound in (start, end):
         if versions.schema[bound].dataType.typeName() != "date":
@@ -55,18 +58,21 @@ def interval_match_best(
             F.struct(*(F.col(c).alias(name) for c, name in take.items())).alias("take"),
         ).alias("best"),
     ).filter(F.col("_span_key").isNotNull() & (F.col("from") <= F.col("until")))
-    same = F.col(key) == F.col("_span_key")
-    if _has_large_groups(versions, key):
-        spans = _spans_by_month(known, facts, at)
-        same = same & (month_start(at) == F.col("_span_month"))
+    largest, rows = _sizes(versions, key)
+    if largest <= VERSIONS_PER_KEY:
+        spans, by_month = known.groupBy("_span_key").agg(_gather_spans()), None
     else:
-        spans = known.groupBy("_span_key").agg(_gather_spans())
+        spans, by_month = _spans_by_month(known, facts, at), month_start(at) == F.col("_span_month")
+        rows = None
     moment = F.col(at)
     covering = F.filter(
         F.col("_spans"), lambda s: (s["from"] <= moment) & (moment <= s["until"])
     )
     matched = (
-        facts.join(spans, same, "left")
+        lookup_join(
+            facts, spans, {key: "_span_key"}, right_rows=rows, also=by_month,
+            sizes_from=sizes_from,
+        )
         .withColumn("_best", F.array_max(F.transform(covering, lambda s: s["best"])))
     )
     fact_id = list(fact_id)
@@ -77,9 +83,11 @@ def interval_match_best(
     )
 
 
-def _has_large_groups(versions: DataFrame, key: str) -> bool:
-    sizes = versions.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return not sizes.filter(F.col("_rows") > VERSIONS_PER_KEY).isEmpty()
+def _sizes(versions: DataFrame, key: str) -> tuple[int, int]:
+    """Rows of the largest key, and all rows."""
+    per_key = versions.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    largest, rows = per_key.agg(F.max("_rows"), F.sum("_rows")).first()
+    return largest or 0, rows or 0
 
 
 def _gather_spans() -> Column:

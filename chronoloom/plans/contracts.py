@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import day_diff, flag, inclusive_days, month_end, month_start
 from chronoloom.operators.compose import band_label, merge_metrics, resolve_price
 from chronoloom.operators.dedup import keep_latest
+from chronoloom.operators.lookup import lookup_join
 from chronoloom.operators.periods import monthly_rollup
 from chronoloom.operators.sequence import with_prev
 from chronoloom.operators.timeline import Timeline
@@ -90,6 +91,7 @@ def resolved_logs(
         at="log_date",
         prefer=["end_date", "start_date", *version_tie],
         take={"subscription_id": "subscription_id", "monthly_fee": "monthly_fee"},
+        sizes_from=logs,
     )
 
 
@@ -173,14 +175,15 @@ def price_anomaly(
         at="order_date",
         prefer=["end_date", "start_date", *version_tie],
         take={"price": "_historical"},
+        sizes_from=orders,
     )
     clean = _clean(prices, "product_id", [f"-{c}" for c in version_tie])
     means = clean.groupBy(F.col("product_id").alias("_product")).agg(
         F.try_divide(F.sum("price").cast("double"), F.count("price").cast("double")).alias("_mean")
     )
     found = (
-        priced.withColumn("final_price", resolve_price("unit_price", "_historical"))
-        .join(means, F.col("product_id") == F.col("_product"), "left")
+        lookup_join(priced, means, {"product_id": "_product"}, sizes_from=orders)
+        .withColumn("final_price", resolve_price("unit_price", "_historical"))
         .select(
             "order_id",
             "product_id",
@@ -255,6 +258,7 @@ def license_usage(
         at="event_date",
         prefer=["end_date", "start_date", *version_tie],
         take={"price": "price"},
+        sizes_from=usage,
     )
     # Summed per customer and month before the country is looked up: fewer rows to join.
     monthly = monthly_rollup(
@@ -301,6 +305,7 @@ def effective_price(
         at="sale_date",
         prefer=["start_date", "end_date", *version_tie],
         take={"price": "price"},
+        sizes_from=sales,
     )
     gross = F.col("qty") * F.col("price")
     found = priced.select(

@@ -191,6 +191,8 @@ def driver_slowing(
         "delivered_at",
         boundary_diff("minute", "out_for_delivery_at", "delivered_at").alias("sla_total_min"),
     ).join(drivers.select("driver_id", "driver_name"), "driver_id")
-    line = Timeline.measured(timed, ["driver_id"], ["delivered_at", *tie])
+    line = Timeline.measured(
+        timed, ["driver_id"], ["delivered_at", *tie], sizes_from=deliveries
+    )
     slowing = monotone_run(line, "sla_total_min", ["sla_total1", "sla_total2"], "_rising")
     return slowing.rows().filter(F.col("_rising") == 1).drop("_rising")

@@ -22,7 +22,8 @@ def _with_intervals(
 ) -> Timeline:
     """Orders of known customers with the days since the order before."""
     line = Timeline.measured(
-        orders.join(customers, "customer_id"), ["customer_id"], ["order_date", *tie]
+        orders.join(customers, "customer_id"), ["customer_id"], ["order_date", *tie],
+        sizes_from=orders,
     )
     return with_prev(line, {"pedido_anterior": "order_date"}).with_columns(
         {"diff_dias_pedidos": day_diff("pedido_anterior", "order_date")}
