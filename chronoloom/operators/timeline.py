@@ -29,6 +29,8 @@ SLICE = "_slice"
 HALO = "_halo"
 HOT_ROWS_CONF = "spark.chronoloom.hotRows"
 HOT_ROWS_DEFAULT = 20_000_000
+# Range partitioning samples its input on the driver in proportion to the number of slices.
+MAX_SLICES = 50_000
 
 # Running aggregates: how a slice's own value is combined with what came before it.
 _RUNNING: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
@@ -100,7 +102,8 @@ class Timeline:
         if not hot:
             return cls(df, part, order)
         rows = sum(r["_rows"] for r in hot)
-        slices = max(2, math.ceil(4 * rows / hot_row_limit(df.sparkSession)))
+        wanted = math.ceil(4 * rows / hot_row_limit(df.sparkSession))
+        slices = min(max(2, wanted), MAX_SLICES)
         return cls(_slice_hot_groups(df, part, order, hot, slices), part, order, sliced=True)
 
     # -- plain steps -----------------------------------------------------------------------
