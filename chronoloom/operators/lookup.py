@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.operators.timeline import hot_groups, hot_row_limit
+from chronoloom.operators.sizes import hot_groups, hot_row_limit
 
 # Rows a table may have, by count, to be sent to every executor.
 BROADCAST_ROWS = 200_000

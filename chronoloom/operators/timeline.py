@@ -8,10 +8,13 @@ ones is passed along in two small ways:
 
 * bounded look-back or look-ahead: the last (first) n rows of a slice are copied to its
   neighbours as halo rows and removed again after the window;
-* running totals and ranks: one total per slice is accumulated over the slices of the group and
-  joined back.
+* running totals and row numbers: one total per slice is accumulated over the slices of the group
+  and joined back;
+* ranks, and totals that rows with the same time share: worked out on one row per distinct time
+  (or value) and looked up, so a value with very many rows is combined first.
 
-Results are the same either way. The limit is ``spark.chronoloom.hotRows`` rows per group.
+Results are the same either way. The limit is ``spark.chronoloom.hotRows`` rows per group. Rows
+are told apart by the order columns: only rows equal in all of them share a slice for sure.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ import tempfile
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronoloom.operators.lookup import lookup_join
+from chronoloom.operators.sizes import hot_groups, hot_row_limit
+
 SLICE = "_slice"
 HALO = "_halo"
-HOT_ROWS_CONF = "spark.chronoloom.hotRows"
-HOT_ROWS_DEFAULT = 20_000_000
 # Range partitioning samples its input on the driver in proportion to the number of slices.
 MAX_SLICES = 50_000
 
@@ -39,20 +43,6 @@ _RUNNING: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column],
 }
 
 
-def hot_row_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
-
-
-def hot_groups(df: DataFrame, part: Iterable[str]) -> list:
-    """Groups with more rows than the limit, with their sizes; at most all rows / limit of them."""
-    return (
-        df.groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_row_limit(df.sparkSession))
-        .collect()
-    )
-
-
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them back from there."""
     spark = df.sparkSession
@@ -79,6 +69,7 @@ class Timeline:
     part: tuple[str, ...]
     order: tuple[str, ...]
     sliced: bool = False
+    written: DataFrame | None = None
 
     @classmethod
     def bounded(cls, df: DataFrame, part: Iterable[str], order: Iterable[str]) -> Timeline:
@@ -104,7 +95,8 @@ class Timeline:
         rows = sum(r["_rows"] for r in hot)
         wanted = math.ceil(4 * rows / hot_row_limit(df.sparkSession))
         slices = min(max(2, wanted), MAX_SLICES)
-        return cls(_slice_hot_groups(df, part, order, hot, slices), part, order, sliced=True)
+        rows = _slice_hot_groups(df, part, order, hot, slices)
+        return cls(rows, part, order, sliced=True, written=rows)
 
     # -- plain steps -----------------------------------------------------------------------
 
@@ -200,42 +192,101 @@ class Timeline:
         }
         if not self.sliced:
             return self.with_columns(own)
-        per_slice = {name: _RUNNING[kind][0](expr) for name, (kind, expr, _) in totals.items()}
-        carried = {name: _RUNNING[kind][0] for name, (kind, _, _) in totals.items()}
-        joined = self._carry_in(self.df.withColumns(own), per_slice, carried)
+        line = self
+        shared = {name: t for name, t in totals.items() if t[2] == "range"}
+        if shared:
+            line = line._by_value(
+                lambda plain: plain.running(shared),
+                {name: _RUNNING[kind][0](expr) for name, (kind, expr, _) in shared.items()},
+                {name: (kind, F.col(name), "rows") for name, (kind, _, _) in shared.items()},
+            )
+        single = {name: t for name, t in totals.items() if t[2] != "range"}
+        if not single:
+            return line
+        per_slice = {name: _RUNNING[kind][0](expr) for name, (kind, expr, _) in single.items()}
+        carried = {name: _RUNNING[kind][0] for name, (kind, _, _) in single.items()}
+        joined = line._carry_in({name: own[name] for name in single}, per_slice, carried)
         combined = {
             name: _RUNNING[kind][1](F.col(name), F.col(f"_in_{name}"))
-            for name, (kind, _, _) in totals.items()
+            for name, (kind, _, _) in single.items()
         }
         return replace(
-            self,
-            df=joined.withColumns(combined).drop(*(f"_in_{name}" for name in totals)),
+            line,
+            df=joined.withColumns(combined).drop(*(f"_in_{name}" for name in single)),
         )
 
     def ranks(self, names: Mapping[str, str]) -> Timeline:
         """Add rank columns by the first order column: name -> rank | dense_rank | row_number."""
-        functions = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}
-        by_value = Window.partitionBy(*self._cells).orderBy(*_sort_keys(self.order[:1]))
-        own = {
-            name: functions[kind]()
-            .over(self._window() if kind == "row_number" else by_value)
-            .cast("bigint")
-            for name, kind in names.items()
-        }
         if not self.sliced:
-            return self.with_columns(own)
-        ranked = self.df.withColumns(own)
-        # Equal values never span two slices, so distinct values and rows add up over slices.
-        per_slice = {
-            name: F.max(name) if kind == "dense_rank" else F.count(F.lit(1))
-            for name, kind in names.items()
-        }
-        joined = replace(self, df=ranked)._carry_in(ranked, per_slice, dict.fromkeys(names, F.sum))
-        combined = {
-            name: F.col(name) + F.coalesce(F.col(f"_in_{name}"), F.lit(0)) for name in names
-        }
+            functions = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}
+            by_value = Window.partitionBy(*self.part).orderBy(*_sort_keys(self.order[:1]))
+            return self.with_columns(
+                {
+                    name: functions[kind]()
+                    .over(self._window() if kind == "row_number" else by_value)
+                    .cast("bigint")
+                    for name, kind in names.items()
+                }
+            )
+        line = self
+        numbers = [name for name, kind in names.items() if kind == "row_number"]
+        if numbers:
+            line = line.running({name: ("sum", F.lit(1), "rows") for name in numbers})
+        ranks = {name: kind for name, kind in names.items() if kind != "row_number"}
+        if ranks:
+            # A rank is one more than the rows with earlier values, a dense rank the number of
+            # distinct values so far.
+            line = line._by_value(
+                lambda plain: plain.ranks(ranks),
+                {
+                    name: F.count(F.lit(1)) if kind == "rank" else F.max(F.lit(1))
+                    for name, kind in ranks.items()
+                },
+                {
+                    name: ("sum", F.col(name), "before" if kind == "rank" else "rows")
+                    for name, kind in ranks.items()
+                },
+                {
+                    name: F.coalesce(F.col(name), F.lit(0)) + 1
+                    for name, kind in ranks.items()
+                    if kind == "rank"
+                },
+            )
+        return line
+
+    def _by_value(
+        self,
+        small: Callable[[Timeline], Timeline],
+        per_value: Mapping[str, Column],
+        totals: Mapping[str, tuple[str, Column, str]],
+        last: Mapping[str, Column] | None = None,
+    ) -> Timeline:
+        """Columns that rows with the same first order column share.
+
+        ``small`` adds them to the groups below the limit. Those above are aggregated per distinct
+        value, which ``totals`` runs over and ``last`` finishes, and every row looks its own up.
+        """
+        first = self.order[0]
+        keys = (*self.part, first.removeprefix("-"))
+        hot = self.df.filter(F.col(SLICE) >= 0)
+        if self.df is not self.written:
+            # Read several times below: do not work the earlier steps out again each time.
+            hot = shared_checkpoint(hot)
+        values = hot.groupBy(*keys).agg(*(e.alias(n) for n, e in per_value.items()))
+        line = Timeline.measured(values, self.part, [first]).running(totals)
+        found = (
+            line.with_columns(last or {})
+            .rows()
+            .select(
+                *(F.col(c).alias(f"_key_{c}") for c in keys),
+                *(F.col(n).cast("bigint").alias(n) if last is not None else n for n in totals),
+            )
+        )
+        large = lookup_join(hot, found, {c: f"_key_{c}" for c in keys}, null_safe=True)
+        rest = self.df.filter(F.col(SLICE) < 0).drop(SLICE)
+        plain = small(replace(self, df=rest, sliced=False)).with_columns({SLICE: F.lit(-1)})
         return replace(
-            self, df=joined.withColumns(combined).drop(*(f"_in_{name}" for name in names))
+            self, df=plain.df.unionByName(large.drop(*(f"_key_{c}" for c in keys)))
         )
 
     def totals(self, aggregates: Mapping[str, Column]) -> Timeline:
@@ -267,11 +318,11 @@ class Timeline:
 
     def _carry_in(
         self,
-        rows: DataFrame,
+        own: Mapping[str, Column],
         per_slice: Mapping[str, Column],
         accumulate: Mapping[str, Callable[[Column], Column]],
     ) -> DataFrame:
-        """Join to every row what the earlier slices of its group add up to (one row a slice)."""
+        """Rows with their own totals and what the earlier slices add up to (one row a slice)."""
         earlier = (
             Window.partitionBy(*self.part)
             .orderBy(SLICE)
@@ -293,7 +344,7 @@ class Timeline:
         same = F.col(SLICE) == F.col("_key_slice")
         for c in self.part:
             same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
-        return rows.join(carry, same, "left").drop(
+        return self.df.withColumns(dict(own)).join(carry, same, "left").drop(
             "_key_slice", *(f"_key_{c}" for c in self.part)
         )
 
@@ -301,7 +352,7 @@ class Timeline:
 def _slice_hot_groups(
     df: DataFrame, part: tuple[str, ...], order: tuple[str, ...], hot: list, slices: int
 ) -> DataFrame:
-    spread = [*part, *_sort_keys(order[:1])]
+    spread = [*part, *_sort_keys(order)]
     if not part:
         ranged = df.repartitionByRange(slices, *spread)
         return shared_checkpoint(ranged.withColumn(SLICE, F.spark_partition_id()))

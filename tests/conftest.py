@@ -29,13 +29,3 @@ def small() -> str:
 @pytest.fixture(scope="session")
 def medium() -> str:
     return str(TESTDATA / "sf0.01")
-
-
-@pytest.fixture
-def sliced(spark):
-    """Treat groups of more than a few rows as large ones."""
-    from chronoloom.operators.timeline import HOT_ROWS_CONF
-
-    spark.conf.set(HOT_ROWS_CONF, "6")
-    yield spark
-    spark.conf.unset(HOT_ROWS_CONF)

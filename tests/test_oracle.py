@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
-from chronoloom.operators.timeline import HOT_ROWS_CONF
+from chronoloom.operators.sizes import HOT_ROWS_CONF
 from compare import difference, duck
 
 QUERIES = contract.queries()

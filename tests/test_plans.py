@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from chronoloom.operators import lookup
-from chronoloom.operators.timeline import HOT_ROWS_CONF, SLICE, Timeline
+from chronoloom.operators.sizes import HOT_ROWS_CONF
+from chronoloom.operators.timeline import SLICE, Timeline
 
 QUERIES = contract.queries()
 ONE_SHUFFLE = [

@@ -9,7 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chronoloom.operators.timeline import HOT_ROWS_CONF, SLICE, Timeline
+from chronoloom.operators.sizes import HOT_ROWS_CONF
+from chronoloom.operators.timeline import SLICE, Timeline
 
 SCHEMA = "k bigint, ts timestamp_ntz, id bigint, x bigint"
 START = datetime(2024, 1, 1)
@@ -68,7 +69,7 @@ def test_one_large_group_and_small_ones(spark, part):
 
 
 @settings(
-    max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(
     st.lists(
@@ -86,6 +87,23 @@ def test_random_tables(spark, rows):
     assert plain == cut
 
 
+def test_many_rows_with_one_time(spark):
+    rows = [(1, 3, i % 4) for i in range(60)] + [(1, i, i) for i in range(8)]
+    plain, cut, sliced = both(spark, rows, ["k"], 10)
+    assert sliced
+    assert plain == cut
+
+
+def test_rows_with_one_time_are_spread(spark):
+    df = table(spark, [(1, 3, 0)] * 200)
+    spark.conf.set(HOT_ROWS_CONF, "50")
+    try:
+        line = Timeline.measured(df, ["k"], ["ts", "id"])
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    assert line.df.groupBy(SLICE).count().agg(F.max("count")).first()[0] <= 50
+
+
 def test_small_groups_are_left_alone(spark):
     line = Timeline.measured(table(spark, [(1, 0, 0)]), ["k"], ["ts"])
     assert not line.sliced and SLICE not in line.df.columns

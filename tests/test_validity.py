@@ -4,7 +4,7 @@ import pytest
 
 from chronoloom.operators import lookup, validity
 from chronoloom.operators.dedup import keep_latest
-from chronoloom.operators.timeline import HOT_ROWS_CONF
+from chronoloom.operators.sizes import HOT_ROWS_CONF
 from chronoloom.operators.validity import interval_match_best
 
 FACTS = [
