@@ -45,35 +45,35 @@ def lookup_join(
     hot = hot_groups(left if sizes_from is None else sizes_from, keys)
     if not hot:
         return left.join(right, condition, "left")
-    salts = 1 + math.ceil(4 * max(r["_rows"] for r in hot) / hot_row_limit(left.sparkSession))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted = _mark(left, hot, {k: k for k in keys}).withColumn(
-        "_salt", F.when(F.col("_is_hot"), spread).otherwise(0)
+    limit = hot_row_limit(left.sparkSession)
+    spread = F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int")
+    salted = _with_salts(left, hot, {k: k for k in keys}, limit).withColumn("_salt", spread)
+    repeated = _with_salts(right, hot, on, limit).withColumn(
+        "_right_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
     )
-    repeated = _mark(right, hot, on).withColumn(
-        "_right_salt", F.explode(F.when(F.col("_is_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    return salted.drop("_is_hot").join(
-        repeated.drop("_is_hot"), condition & (F.col("_salt") == F.col("_right_salt")), "left"
+    return salted.drop("_salts").join(
+        repeated.drop("_salts"), condition & (F.col("_salt") == F.col("_right_salt")), "left"
     ).drop("_salt", "_right_salt")
 
 
-def _mark(df: DataFrame, hot: list, columns: Mapping[str, str]) -> DataFrame:
-    """Add ``_is_hot``: the row's key is one of the listed ones (at most all rows / limit)."""
+def _with_salts(df: DataFrame, hot: list, columns: Mapping[str, str], limit: int) -> DataFrame:
+    """Add ``_salts``: 1, or for a listed key as many as its size asks for.
+
+    At most all rows / limit keys are listed, and their salts add up to a few times that.
+    """
     names = list(columns)
     schema = T.StructType(
         [T.StructField(f"_hot_{n}", df.schema[c].dataType) for n, c in columns.items()]
-        + [T.StructField("_listed", T.BooleanType())]
+        + [T.StructField("_wanted", T.IntegerType())]
     )
     listed = df.sparkSession.createDataFrame(
-        [(*(r[n] for n in names), True) for r in hot], schema
+        [(*(r[n] for n in names), math.ceil(4 * r["_rows"] / limit)) for r in hot], schema
     )
     same = F.lit(True)
     for n, c in columns.items():
         same = same & F.col(c).eqNullSafe(F.col(f"_hot_{n}"))
     return (
         df.join(F.broadcast(listed), same, "left")
-        .withColumn("_is_hot", F.coalesce("_listed", F.lit(False)))
-        .drop("_listed", *(f"_hot_{n}" for n in names))
+        .withColumn("_salts", F.coalesce("_wanted", F.lit(1)))
+        .drop("_wanted", *(f"_hot_{n}" for n in names))
     )

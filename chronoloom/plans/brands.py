@@ -1,6 +1,7 @@
 """Monthly brand metrics per customer, and their reconciliation.
 
-Input lines: id_cliente, marca, id_venda, order_date, qty, valor_item.
+Input lines: id_cliente, marca, id_venda, order_date, qty, valor_item. The checks take the metrics
+as a table: persist or write them first to run several checks on one computation.
 """
 
 from __future__ import annotations

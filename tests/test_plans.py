@@ -11,6 +11,7 @@ import __spark_entry__ as contract
 from chronoloom.operators import lookup
 from chronoloom.operators.sizes import HOT_ROWS_CONF
 from chronoloom.operators.timeline import SLICE, Timeline
+from chronoloom.plans import churn, contracts, customers, delivery, instability, orders, usage
 
 QUERIES = contract.queries()
 ONE_SHUFFLE = [
@@ -98,3 +99,21 @@ def test_large_group_is_spread_over_tasks(spark):
     largest = line.df.groupBy("k", SLICE).count().agg(F.max("count")).first()[0]
     assert largest <= 8000
     assert line.rows().count() == 40_000
+
+
+def test_every_report_can_be_ordered(spark, small, capsys, monkeypatch):
+    used = set()
+
+    def ordered(df, order, _):
+        used.add(tuple(order))
+        return df.orderBy(*order)
+
+    for module in (churn, contracts, customers, delivery, instability, orders, usage):
+        monkeypatch.setattr(module, "report", ordered)
+    for name, query in QUERIES.items():
+        query(spark, small)
+    assert len(used) > 10
+    found = QUERIES["calendar_churn"](spark, small)
+    assert "rangepartitioning(customer_id" in plan(capsys, found)
+    keys = [(r.customer_id, r.month_start) for r in found.collect()]
+    assert keys == sorted(keys)
