@@ -77,7 +77,10 @@ def interval_match_best(
     )
     fact_id = list(fact_id)
     if fact_id:
-        matched = keep_latest(matched, fact_id, ["-_best", *fact_order])
+        ranked = {f"_p{i}": F.col("_best")[f"p{i}"] for i in range(len(prefer))}
+        matched = keep_latest(
+            matched.withColumns(ranked), fact_id, [*(f"-{c}" for c in ranked), *fact_order]
+        )
     return matched.select(
         *inputs, *(F.col("_best.take")[name].alias(name) for name in take.values())
     )
