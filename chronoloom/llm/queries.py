@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import mixing, quality, simhash
+from chronoloom.llm import html, mixing, packing, quality, sharding, simhash, urls
 from chronoloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +32,38 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed(
+        documents(spark, folder),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        pattern=public_tokenizers.PATTERN,
+    )
+
+
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.filtered(documents(spark, folder, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict"
+    )
+
+
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extracted(documents(spark, folder, "pages"))
+
+
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(documents(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_rules, op2_simhash, op3_mixing)}
+    return {
+        q.__name__: q
+        for q in (
+            op1_quality_rules, op2_simhash, op3_mixing, op4_packing, op5_url_filters,
+            op7_html_extraction, op10_sharding,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
