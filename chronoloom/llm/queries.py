@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import html, mixing, packing, quality, sharding, simhash, urls
+from chronoloom.llm import html, mixing, packing, quality, sharding, simhash, suffixes, urls
 from chronoloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,12 @@ def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(documents(spark, folder, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeats_removed(documents(spark, folder), with_text=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(documents(spark, folder))
 
@@ -61,7 +67,7 @@ def queries() -> dict[str, Query]:
         q.__name__: q
         for q in (
             op1_quality_rules, op2_simhash, op3_mixing, op4_packing, op5_url_filters,
-            op7_html_extraction, op10_sharding,
+            op7_html_extraction, op8_suffix_dedup, op10_sharding,
         )
     }
 
