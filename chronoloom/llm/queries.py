@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import html, mixing, packing, quality, sharding, simhash, suffixes, urls
+from chronoloom.llm import (
+    html,
+    licenses,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    suffixes,
+    urls,
+)
 from chronoloom.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +59,12 @@ def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents lie in one directory per source and language."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scanned(documents(spark, folder), path)
+
+
 def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(documents(spark, folder, "pages"))
 
@@ -58,6 +75,10 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(documents(spark, folder, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(documents(spark, folder))
 
@@ -67,7 +88,8 @@ def queries() -> dict[str, Query]:
         q.__name__: q
         for q in (
             op1_quality_rules, op2_simhash, op3_mixing, op4_packing, op5_url_filters,
-            op7_html_extraction, op8_suffix_dedup, op10_sharding,
+            op6_license_scan, op7_html_extraction, op8_suffix_dedup, op9_nearest_neighbours,
+            op10_sharding,
         )
     }
 
