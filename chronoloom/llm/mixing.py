@@ -2,7 +2,7 @@
 
 Each document draws an exponential key, divided by its quality weight; a source takes whole epochs
 first and then, in key order, documents up to the rest of its budget. Keys are ordered through
-buckets: a monotone map of the key into [0, 1) cut into ranges of some 50,000 documents, sums per
+buckets: a monotone map of the key into [0, 1) cut into ranges of some 5,000 documents, sums per
 bucket, and a running sum inside each. No source, however large, is sorted in one task.
 """
 
@@ -18,7 +18,7 @@ from chronoloom.operators.lookup import lookup_join
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_TIMES = 3.0
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 SEED = 20_240_229
 
 
