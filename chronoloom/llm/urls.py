@@ -18,8 +18,9 @@ from chronoloom.llm.common import cut
 from chronoloom.operators.lookup import lookup_join
 
 DAMPING, STEPS = 0.85, 12
-# A host is blocked when distrust is above this share of trust and distrust together.
-BLOCKED_SHARE = 0.5
+# A host is blocked when its distrust is above its trust and at least this part of what a blocked
+# seed starts with.
+LEAST_DISTRUST = 0.25
 # Share of a host's pages that rules must decide alike to make it a seed.
 SEED_SHARE = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,20 +71,14 @@ def _allowed(rules: Sequence[UrlRule]) -> Column:
 
 
 def host_edges(parsed: DataFrame) -> DataFrame:
-    """(a, b, weight): links between different hosts by their number, and one each way between a
-    host and the domain right above it."""
+    """(a, b, weight): links of pages to other hosts, weighted by their number."""
     linked = parsed.select(
         F.col("host").alias("a"),
         F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINKS), 1)).alias("b"),
     ).withColumn("b", F.translate("b", _UPPER, _LOWER))
-    links = linked.filter((F.col("a") != "") & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(
+    return linked.filter((F.col("a") != "") & (F.col("a") != F.col("b"))).groupBy("a", "b").agg(
         F.count(F.lit(1)).cast("double").alias("weight")
     )
-    above = F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1)
-    family = parsed.select("host", above.alias("domain")).filter(F.col("domain") != "").distinct()
-    return links.union(
-        family.select("host", "domain", F.lit(1.0))
-    ).union(family.select("domain", "host", F.lit(1.0)))
 
 
 def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
@@ -109,9 +104,10 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps:
     return ranks
 
 
-def _seeds(hosts: DataFrame, kind: str) -> DataFrame:
+def _seeds(hosts: DataFrame, kind: str) -> tuple[DataFrame, int]:
     chosen = hosts.filter(F.col(kind) > SEED_SHARE * F.col("pages")).select("host")
-    return chosen.withColumn("seed", F.lit(1.0 / max(1, chosen.count())))
+    n = max(1, chosen.count())
+    return chosen.withColumn("seed", F.lit(1.0 / n)), n
 
 
 def host_verdicts(parsed: DataFrame, rules: Sequence[UrlRule] = RULES) -> DataFrame:
@@ -125,11 +121,13 @@ def host_verdicts(parsed: DataFrame, rules: Sequence[UrlRule] = RULES) -> DataFr
         )
     )
     edges = cut(host_edges(parsed))
-    trust = spread(edges, _seeds(hosts, "allowed")).select(
+    trusted, _ = _seeds(hosts, "allowed")
+    blocked, n = _seeds(hosts, "barred")
+    trust = spread(edges, trusted).select(
         F.col("host").alias("t_host"), F.col("rank").alias("trust")
     )
     against = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
-    distrust = spread(against, _seeds(hosts, "barred")).select(
+    distrust = spread(against, blocked).select(
         F.col("host").alias("d_host"), F.col("rank").alias("distrust")
     )
     both = (
@@ -141,8 +139,8 @@ def host_verdicts(parsed: DataFrame, rules: Sequence[UrlRule] = RULES) -> DataFr
             F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
         )
     )
-    share = F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust"))
-    return both.withColumn("blocked", F.coalesce(share > BLOCKED_SHARE, F.lit(False)))
+    enough = F.col("distrust") >= LEAST_DISTRUST * (1 - DAMPING) / n
+    return both.withColumn("blocked", enough & (F.col("distrust") > F.col("trust")))
 
 
 def filtered(

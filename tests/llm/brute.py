@@ -1,0 +1,86 @@
+"""Plain references for small tables: the definitions, written without regard to speed."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+import xxhash
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def measures(text: str | None) -> tuple:
+    text = text or ""
+    words = WORD.findall(text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    times = Counter(windows)
+    repeated = {i + d for i, w in enumerate(windows) if times[w] > 1 for d in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+    return (
+        len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text),
+        len(lines) - len(set(lines)), len(repeated), failed,
+    )
+
+
+def fingerprint(text: str | None) -> int:
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints: dict, radius: int) -> dict:
+    """Smallest id reachable, for ids with distinct keys."""
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(prints)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if bin(prints[a] ^ prints[b]).count("1") <= radius:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def repeats(docs: list[tuple[int, bytes]], length: int) -> dict[int, tuple]:
+    """(bytes, removed, runs, sha256 of the rest) per id, ids distinct."""
+    seen: set[bytes] = set()
+    found = {}
+    for i, data in sorted(docs):
+        gone = [False] * len(data)
+        for s in range(len(data) - length + 1):
+            string = data[s : s + length]
+            if string in seen:
+                gone[s : s + length] = [True] * length
+            seen.add(string)
+        left = bytes(c for c, g in zip(data, gone) if not g)
+        runs = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        found[i] = (len(data), sum(gone), runs, hashlib.sha256(left).hexdigest())
+    return found
+
+
+def targets(sizes: dict, weights=(1, 2, 3), most=3.0) -> dict:
+    """Shares by weight with caps, resharing the excess until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    capped: dict = {}
+    while True:
+        left = sum(sizes.values()) - sum(capped.values())
+        free = [s for s in names if s not in capped]
+        total = sum(weight[s] for s in free)
+        share = {s: left * weight[s] / total for s in free}
+        above = [s for s in free if share[s] > most * sizes[s]]
+        if not above:
+            return capped | share
+        capped |= {s: most * sizes[s] for s in above}

@@ -1,0 +1,41 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, run int, bits string, "
+    "row string, rest string, `_copy` int, kept string, size string, bucket string"
+)
+PASSAGE = " ".join(f"passage{i}" for i in range(30)) + "."
+
+
+def _row(doc_id, text, source="a", lang="en"):
+    return (doc_id, text, lang, source, None, 1, "b", None, "x", 2, "no", None, "z")
+
+
+@pytest.fixture(scope="session")
+def awkward(spark):
+    """Nulls in every column, empty and blank texts, ties, repeated rows, clashing names, and texts
+    that hold shared passages, repeats of their own and characters of many bytes."""
+    prose = " ".join(f"the word{i % 61} of thing{i}" for i in range(60))
+    rows = [
+        _row(1, prose), _row(2, prose), _row(2, prose), _row(3, prose + " end"), _row(4, ""),
+        _row(5, None), _row(6, " \n\t "), _row(7, "one two"), _row(8, PASSAGE + " after", "b"),
+        _row(9, "before " + PASSAGE, None), _row(10, "a b c " * 300, "b"),
+        _row(11, "line of text\n" * 60, None), _row(12, "ünïcödé ß€ 𝒳 " * 40, "c"),
+        _row(13, "#### $$$ word " * 40, "c", None), _row(None, prose, None, None),
+        _row(None, None, None, None), _row(14, "x" * 1000), _row(15, PASSAGE + PASSAGE, "ü"),
+        _row(-3, "Licensed under the Apache License, Version 2.0.\nshort"),
+        _row(17, " ".join(f"w{i * 7919 % 9973}" for i in range(9000)), "long"),
+    ]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
