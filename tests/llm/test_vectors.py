@@ -29,10 +29,12 @@ def grouped(df):
     return dict(found)
 
 
-def test_recall_and_scores(spark, medium):
-    rows = duck(medium).execute("SELECT vec_id, embedding FROM embeddings").fetchall()
+@pytest.mark.parametrize("how", [{}, {"leaf": 40, "sample": 400, "share": 2.0}])
+def test_recall_and_scores(spark, how):
+    folder = "/root/testdata/sf0.1" if not how else "/root/testdata/sf0.01"
+    rows = duck(folder).execute("SELECT vec_id, embedding FROM embeddings").fetchall()
     wanted = brute(rows)
-    found = grouped(neighbours.nearest(spark.read.parquet(f"{medium}/embeddings.parquet"), leaf=20, sample=400))
+    found = grouped(neighbours.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"), **how))
     assert found.keys() == wanted.keys()
     vectors = {i: np.float64(v) for i, v in rows}
     hits = 0
