@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 TOLERANCE = 1e-9
 
 
+def materialise(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written as Parquet to a folder the caller names, one that all executors share, and
+    read back: a table for several checks on one computation."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def agree(left: Column, right: Column, tolerance: float = TOLERANCE) -> Column:
     """True where two figures are equal up to rounding; unknown figures do not agree."""
     return F.coalesce(F.abs(left - right) <= tolerance, F.lit(False))

@@ -67,8 +67,12 @@ def rank_in_group(df: DataFrame, group: Iterable[str], value: str, name: str) ->
 
 
 def top_category(category: str, amount: str) -> Column:
-    """Aggregate: the category with the largest amount, the first by name among equals."""
-    return F.min_by(category, F.struct(-F.col(amount), F.col(category)))
+    """Aggregate: the category with the largest amount, the first by name among equals.
+
+    Unknown amounts come after all known ones.
+    """
+    value = F.col(amount)
+    return F.min_by(category, F.struct(value.isNull(), -value, F.col(category)))
 
 
 def with_group_totals(

@@ -23,9 +23,15 @@ INPUTS: dict[str, str] = {
         SELECT c_custkey AS customer_id, c_name AS customer_name, n_name AS country
         FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "product_usage": f"""
-        SELECT o_custkey % 50 AS customer_id, l_partkey % 5 AS product_id,
+        SELECT o_custkey % 50 AS customer_id, l_partkey % 5 - 1 AS product_id,
                l_shipdate AS usage_date, CAST(l_quantity AS DECIMAL(18,2)) AS usage_count
         FROM {_LINES}""",
+    "products": "SELECT p_partkey AS product_id, p_name AS product_name FROM part",
+    "customer_people": """
+        SELECT c_custkey AS customer_id,
+               CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS person_id
+        FROM customer""",
+    "people": "SELECT c_custkey AS person_id, c_name AS customer_name FROM customer",
     "readings": """
         SELECT user_id AS entity_id, ts AS event_time, event_id,
                CAST(value AS DECIMAL(18,2)) AS reading,
@@ -66,7 +72,7 @@ INPUTS: dict[str, str] = {
         FROM {_LINES}""",
     "cancellations": """
         SELECT o_custkey AS customer_id, o_orderdate AS cancel_date
-        FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 20 = 0""",
+        FROM orders WHERE o_orderstatus = 'F'""",
     "invoices": """
         SELECT o_custkey AS customer_id, o_orderdate AS invoice_date,
                CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
@@ -87,8 +93,7 @@ INPUTS: dict[str, str] = {
         SELECT p_partkey AS product_id, make_date(y, 3, 1) + CAST(30 * v AS INT) AS start_date,
                make_date(y, 6, 1) + CAST(30 * v AS INT) AS end_date,
                CAST(0.05 + 0.05 * v AS DECIMAL(4,2)) AS discount_pct
-        FROM part, (VALUES (1996), (1998), (2000)) years(y), (VALUES (0), (1)) kinds(v)
-        WHERE p_partkey % 3 = 0""",
+        FROM part, (VALUES (1996), (1998), (2000)) years(y), (VALUES (0), (1)) kinds(v)""",
     "order_lines": f"""
         SELECT l_orderkey AS order_id, l_partkey AS product_id, o_custkey AS customer_id,
                l_shipdate AS order_date, CAST(l_quantity AS DECIMAL(9,2)) AS quantity,
@@ -109,7 +114,7 @@ INPUTS: dict[str, str] = {
                o_orderdate + to_days(CAST(o_orderkey % 400 + 7 * v AS INT)) AS claim_date,
                CAST(o_totalprice AS DECIMAL(18,2)) * 0.1 AS claim_cost
         FROM orders, (VALUES (0), (1)) copies(v)
-        WHERE o_orderkey % 5 = 0 AND (v = 0 OR o_orderkey % 25 = 0)""",
+        WHERE v = 0 OR o_orderpriority = '1-URGENT'""",
     "order_headers": """
         SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderdate AS order_date,
                CAST(o_totalprice AS DECIMAL(18,2)) AS total_due,
@@ -290,12 +295,13 @@ _BRAND_COLUMNS = """id_cliente, marca, ano, mes, total_mes_marca, freq_marca, pa
 def _order_steps(body: str) -> str:
     w = "PARTITION BY customer_id ORDER BY order_date, order_id"
     return _query(
-        ["order_headers", "customers_dim"],
+        ["order_headers", "customer_people", "people"],
         f"""WITH_MORE dated AS (
-            SELECT h.*, c.customer_name,
+            SELECT h.*, p.customer_name,
                    lag(order_date) OVER (PARTITION BY h.customer_id ORDER BY order_date, order_id)
                        AS before
-            FROM order_headers h JOIN customers_dim c ON h.customer_id = c.customer_id),
+            FROM order_headers h JOIN customer_people c ON h.customer_id = c.customer_id
+                 LEFT JOIN people p ON c.person_id = p.person_id),
         spaced AS (SELECT *, date_diff('day', before, order_date) AS gap FROM dated),
         compared AS (SELECT *, lag(gap) OVER w AS gap1, lag(gap, 2) OVER w AS gap2 FROM spaced
                      WINDOW w AS ({w})) {body}""",
@@ -360,11 +366,12 @@ def oracle_sql() -> dict[str, str]:
                * CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END AS flag_reativacao,""",
     )
     q["product_usage_risk"] = _query(
-        ["customers_dim", "product_usage"],
+        ["customers_dim", "product_usage", "products"],
         f"""WITH_MORE used AS (
-                SELECT c.customer_id, u.product_id, {_month('u.usage_date')} AS month_start,
+                SELECT c.customer_id, p.product_id, {_month('u.usage_date')} AS month_start,
                        sum(u.usage_count) AS n
                 FROM customers_dim c LEFT JOIN product_usage u ON c.customer_id = u.customer_id
+                     LEFT JOIN products p ON u.product_id = p.product_id
                 GROUP BY ALL),
             prior AS (SELECT *, lag(n) OVER (PARTITION BY customer_id, product_id
                                              ORDER BY month_start) AS n0 FROM used)
@@ -527,7 +534,7 @@ def oracle_sql() -> dict[str, str]:
         liked AS (
             SELECT customer_id, category FROM sales GROUP BY customer_id, category
             QUALIFY row_number() OVER (PARTITION BY customer_id
-                ORDER BY sum(amount) DESC, category) = 1),
+                ORDER BY sum(amount) DESC NULLS LAST, category) = 1),
         monthly AS (SELECT {_month('sale_date')} AS mes, customer_id, sum(amount) AS spend
                     FROM sales GROUP BY ALL),
         ranked AS (SELECT *, rank() OVER (PARTITION BY mes ORDER BY spend DESC) AS rank_mes

@@ -1,7 +1,7 @@
 """Monthly brand metrics per customer, and their reconciliation.
 
 Input lines: id_cliente, marca, id_venda, order_date, qty, valor_item. The checks take the metrics
-as a table: persist or write them first to run several checks on one computation.
+as a table; :func:`brand_checks` writes them once and runs all checks on that.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import day_diff, flag, month_end, ratio
-from chronoloom.operators.checks import agree, compare_totals, violations
+from chronoloom.operators.checks import agree, compare_totals, materialise, violations
 from chronoloom.operators.compose import share_and_rank
 from chronoloom.operators.rolling import trailing_mean, trailing_sum
 from chronoloom.operators.timeline import Timeline
@@ -119,3 +119,14 @@ def brand_checks_flags(
             & (F.col("flag_explosao") == 1),
         ],
     )
+
+
+def brand_checks(lines: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """All three checks on metrics computed once and kept in ``folder``. The total is compared with
+    one taken from the lines anew, as a check must not rest on what it checks."""
+    metrics = materialise(brand_metrics(lines), folder)
+    return {
+        "total": brand_checks_total(metrics, lines),
+        "ticket": brand_checks_ticket(metrics),
+        "flags": brand_checks_flags(metrics),
+    }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import boundary_diff, flag, weekday_number
 from chronoloom.operators import islands as isl
 from chronoloom.operators.compose import with_group_totals
+from chronoloom.operators.lookup import lookup_join
 from chronoloom.operators.rolling import trailing_mean
 from chronoloom.operators.sequence import monotone_run
 from chronoloom.operators.timeline import Timeline
@@ -190,9 +191,14 @@ def driver_slowing(
         "out_for_delivery_at",
         "delivered_at",
         boundary_diff("minute", "out_for_delivery_at", "delivered_at").alias("sla_total_min"),
-    ).join(drivers.select("driver_id", "driver_name"), "driver_id")
+    )
+    listed = drivers.select(F.col("driver_id").alias("_driver"), "driver_name")
+    known = lookup_join(timed, listed, {"driver_id": "_driver"}, sizes_from=deliveries)
     line = Timeline.measured(
-        timed, ["driver_id"], ["delivered_at", *tie], sizes_from=deliveries
+        known.filter(F.col("_driver").isNotNull()).drop("_driver"),
+        ["driver_id"],
+        ["delivered_at", *tie],
+        sizes_from=deliveries,
     )
     slowing = monotone_run(line, "sla_total_min", ["sla_total1", "sla_total2"], "_rising")
     return slowing.rows().filter(F.col("_rising") == 1).drop("_rising")

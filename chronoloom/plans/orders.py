@@ -1,7 +1,8 @@
 """Speeding up and slowing down of a customer's orders.
 
 Input: orders (customer_id, order_date, online_flag, order_id and what else should be kept) and
-customers (customer_id, and names where they are wanted).
+customers (customer_id, one row each), for the panel also their person_id and people (person_id, one
+row each, and names).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import day_diff, flag
+from chronoloom.operators.lookup import lookup_join
 from chronoloom.operators.sequence import had_before, monotone_run, with_prev
 from chronoloom.operators.timeline import Timeline
 from chronoloom.plans._common import report
@@ -21,9 +23,12 @@ def _with_intervals(
     orders: DataFrame, customers: DataFrame, tie: Iterable[str]
 ) -> Timeline:
     """Orders of known customers with the days since the order before."""
+    listed = customers.withColumnRenamed("customer_id", "_customer")
+    known = lookup_join(orders, listed, {"customer_id": "_customer"}, sizes_from=orders).filter(
+        F.col("_customer").isNotNull()
+    )
     line = Timeline.measured(
-        orders.join(customers, "customer_id"), ["customer_id"], ["order_date", *tie],
-        sizes_from=orders,
+        known.drop("_customer"), ["customer_id"], ["order_date", *tie], sizes_from=orders
     )
     return with_prev(line, {"pedido_anterior": "order_date"}).with_columns(
         {"diff_dias_pedidos": day_diff("pedido_anterior", "order_date")}
@@ -53,15 +58,20 @@ def order_deceleration(
 
 
 def order_acceleration_panel(
-    orders: DataFrame, customers: DataFrame, *, names: Iterable[str] = ("customer_name",),
-    tie: Iterable[str] = ("order_id",),
+    orders: DataFrame, customers: DataFrame, people: DataFrame, *,
+    names: Iterable[str] = ("customer_name",), tie: Iterable[str] = ("order_id",),
 ) -> DataFrame:
     """Every order with its interval, acceleration over two steps, a longer interval after any
-    such acceleration, and how many of those an accelerating online customer had before."""
+    such acceleration, and how many of those an accelerating online customer had before.
+    Customers without a person keep NULL names."""
     names, tie = list(names), list(tie)
+    persons = people.select(F.col("person_id").alias("_person"), *names)
+    named = lookup_join(
+        customers.select("customer_id", "person_id"), persons, {"person_id": "_person"}
+    )
     line = _with_intervals(
         orders.select("customer_id", "order_date", "online_flag", *tie),
-        customers.select("customer_id", *names),
+        named.select("customer_id", *names),
         tie,
     )
     line = monotone_run(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import flag, percent_change
+from chronoloom.operators.lookup import lookup_join
 from chronoloom.operators.periods import monthly_rollup
 from chronoloom.operators.rolling import drop_vs_prev, recovery_vs_prev
 from chronoloom.operators.sequence import with_prev
@@ -139,19 +140,29 @@ def usage_drop_severe(
 
 
 def product_usage_risk(
-    customers: DataFrame, usage: DataFrame, *, drop: float = 0.6
+    customers: DataFrame, usage: DataFrame, products: DataFrame, *, drop: float = 0.6
 ) -> DataFrame:
     """Use per customer, product and month against the month before. Customers without use keep
-    one row with NULLs.
+    one row with NULLs, and use of products that are not listed counts for the NULL product.
 
-    Input: customers (customer_id), usage (customer_id, product_id, usage_date, usage_count).
-    Use is rolled up before the join, which then meets months instead of single records.
+    Input: customers (customer_id), usage (customer_id, product_id, usage_date, usage_count),
+    products (product_id). Use is rolled up before the joins, which then meet months instead of
+    single records.
     """
-    monthly = monthly_rollup(
+    used = monthly_rollup(
         usage, ["customer_id", "product_id"], "usage_date",
-        [F.sum("usage_count").alias(NOW)],
+        [F.sum("usage_count").alias("_used")],
+    )
+    # Products listed twice count twice, and so do customers.
+    sold = products.groupBy(F.col("product_id").alias("_product")).agg(
+        F.count(F.lit(1)).alias("_times")
+    )
+    amount = F.col("_used") * F.coalesce("_times", F.lit(1))
+    monthly = (
+        lookup_join(used, sold, {"product_id": "_product"})
+        .groupBy("customer_id", F.col("_product").alias("product_id"), MONTH)
+        .agg(F.sum(amount).alias(NOW))
     )
-    # Customers listed twice count twice, as they would when joined before the sum.
     listed = customers.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_listed"))
     per_customer = listed.join(monthly, "customer_id", "left").select(
         "customer_id", "product_id", MONTH, (F.col(NOW) * F.col("_listed")).alias(NOW)

@@ -132,7 +132,8 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     "usage_drop_run_raw": lambda i: usage.usage_drop_run_raw(i.feature_usage()),
     "usage_drop_severe": lambda i: usage.usage_drop_severe(i.feature_usage()),
     "product_usage_risk": lambda i: _finish(
-        usage.product_usage_risk(i.customers(), i.product_usage()), pct_variacao=6
+        usage.product_usage_risk(i.customers(), i.product_usage(), i.products()),
+        pct_variacao=6,
     ),
     # validity intervals
     "subscription_churn_risk": lambda i: _finish(
@@ -240,7 +241,7 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
         orders.order_deceleration(i.order_headers(), i.customers())
     ),
     "order_acceleration_panel": lambda i: orders.order_acceleration_panel(
-        i.order_headers(), i.customers()
+        i.order_headers(), i.customer_people(), i.people()
     ),
     # brands
     "brand_metrics": lambda i: _finish(_brand_metrics(i), **_BRAND_ROUND),

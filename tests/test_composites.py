@@ -166,11 +166,23 @@ def test_customer_without_use_keeps_a_row(spark):
     found = usage.product_usage_risk(
         spark.sql("select * from values (1), (2), (2) as t(customer_id)"),
         spark.sql("select 2 customer_id, 7 product_id, date'2024-01-05' usage_date, 3 usage_count"),
+        spark.sql("select 7 product_id"),
     )
     assert [(r.customer_id, r.product_id, r.uso_mes) for r in found.orderBy("customer_id").collect()
             ] == [(1, None, None), (2, 7, 6)]
 
 
+def test_unlisted_products_count_together(spark):
+    used = spark.sql(
+        "select 1 customer_id, p product_id, date'2024-01-05' usage_date, n usage_count"
+        " from values (7, 3), (8, 4), (9, 5), (null, 1) as t(p, n)"
+    )
+    found = usage.product_usage_risk(
+        spark.sql("select 1 customer_id"), used, spark.sql("select * from values (7), (7) as t(product_id)")
+    )
+    assert {(r.product_id, r.uso_mes) for r in found.collect()} == {(7, 6), (None, 10)}
+
+
 # -- compose ----------------------------------------------------------------------------------
 
 
@@ -199,6 +211,12 @@ def test_top_category_breaks_ties_by_name(spark):
     assert df.groupBy("k").agg(compose.top_category("c", "v")).first()[1] == "a"
 
 
+def test_top_category_puts_unknown_amounts_last(spark):
+    df = spark.sql("select * from values (1, 'a', 5), (1, 'z', null), (2, 'y', null) as t(k, c, v)")
+    found = df.groupBy("k").agg(compose.top_category("c", "v").alias("c")).orderBy("k").collect()
+    assert [r.c for r in found] == ["a", "y"]
+
+
 def test_prices_and_bands(spark):
     df = spark.sql(
         "select * from values (null, 7), (0, 7), (-1, 7), (3, 7), (null, null) as t(p, f)"
@@ -280,8 +298,12 @@ def test_acceleration_needs_two_shorter_intervals(spark):
         [(i, 1, d, 1) for i, d in enumerate(days)], "order_id int, customer_id int, d int, "
         "online_flag int"
     ).withColumn("order_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")))
-    names = spark.sql("select 1 customer_id, 'n' customer_name")
-    found = rows(orders.order_acceleration_panel(df.drop("d"), names), "order_id")
+    shops = spark.sql("select * from values (1, 5), (2, null) as t(customer_id, person_id)")
+    names = spark.sql("select 5 person_id, 'n' customer_name")
+    other = df.withColumns({"customer_id": F.lit(2), "order_id": F.col("order_id") + 10})
+    both = orders.order_acceleration_panel(df.union(other).drop("d"), shops, names)
+    assert {(r.customer_id, r.customer_name) for r in both.collect()} == {(1, "n"), (2, None)}
+    found = rows(both.filter("customer_id = 1"), "order_id")
     assert [r[4:] for r in found] == [
         (None, 0, 0, 0), (10, 0, 0, 0), (8, 0, 0, 0), (6, 1, 0, 0), (10, 0, 1, 0), (2, 0, 0, 1),
     ]
@@ -305,6 +327,24 @@ def test_violations_are_found(spark, small):
     assert brands.brand_checks_flags(wrong).count() == expected > 0
 
 
+def test_checks_share_one_computation(spark, small, tmp_path):
+    lines = Inputs(spark, small).brand_lines()
+    found = brands.brand_checks(lines, str(tmp_path / "metrics"))
+    assert set(found) == {"total", "ticket", "flags"}
+    for name, check in found.items():
+        text = check._jdf.queryExecution().executedPlan().toString()
+        # Only the independent total reads the lines again.
+        assert text.count("lineitem.parquet") == (1 if name == "total" else 0)
+    metrics = brands.brand_metrics(lines)
+    plain = {
+        "total": brands.brand_checks_total(metrics, lines),
+        "ticket": brands.brand_checks_ticket(metrics),
+        "flags": brands.brand_checks_flags(metrics),
+    }
+    for name, check in found.items():
+        assert sorted(map(str, check.collect())) == sorted(map(str, plain[name].collect()))
+
+
 def test_ticket_of_zero_is_unknown(spark):
     lines = spark.sql(
         "select 1 id_cliente, 'm' marca, 1 id_venda, timestamp_ntz'2024-01-05' order_date,"

@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from chronoloom import oracle, registry
 from chronoloom.operators.sizes import HOT_ROWS_CONF
 from compare import difference, duck
 
-QUERIES = contract.queries()
-ORACLE = contract.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle.oracle_sql()
 # Contradictions between flags and figures: none is what the check should find.
 EMPTY = {"brand_checks_flags"}
 # Jobs that look along the rows of an entity, in the sliced form too.
@@ -47,6 +48,7 @@ def small_duck(small):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
 
 
 def test_entry_runs(spark):

@@ -7,13 +7,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+from chronoloom import registry
 from chronoloom.operators import lookup
 from chronoloom.operators.sizes import HOT_ROWS_CONF
 from chronoloom.operators.timeline import SLICE, Timeline
 from chronoloom.plans import churn, contracts, customers, delivery, instability, orders, usage
 
-QUERIES = contract.queries()
+QUERIES = registry.queries()
 ONE_SHUFFLE = [
     "churn_gap_episodes",
     "churn_gap_reactivation",
@@ -101,6 +101,51 @@ def test_large_group_is_spread_over_tasks(spark):
     assert line.rows().count() == 40_000
 
 
+def test_stacked_steps_read_large_groups_a_few_times(spark, small, capsys):
+    spark.conf.set(HOT_ROWS_CONF, "5")
+    try:
+        found = QUERIES["order_acceleration_panel"](spark, small)
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    text = plan(capsys, found)
+    assert text.count("orders.parquet") <= 4
+    assert "CartesianProduct" not in text
+
+
+def test_no_exchange_on_a_large_group_alone(spark, capsys):
+    df = spark.range(400).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
+    spark.conf.set(HOT_ROWS_CONF, "50")
+    try:
+        line = Timeline.measured(df, ["k"], ["t"]).totals({"whole": F.sum("t")})
+        text = plan(capsys, line.large)
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    # The only rows dealt by the key are partial sums, one per group and task.
+    for exchange in re.finditer(r"Exchange hashpartitioning\(k#\d+L, \d+\).*\n.*", text):
+        assert "partial_sum" in exchange.group(0)
+
+
+def test_a_series_without_a_key_is_never_in_one_task(spark, small, capsys):
+    text = plan(capsys, QUERIES["temperature_jumps"](spark, small))
+    for exchange in re.finditer(r"Exchange SinglePartition.*\n(.*)\n(.*)", text):
+        assert "partial_" in exchange.group(1) or "HashAggregate" in exchange.group(1) + exchange.group(2)
+
+
+def test_slices_depend_on_rows_alone(spark):
+    df = spark.range(500).select(
+        F.lit(1).alias("k"), F.when(F.col("id") % 7 != 0, F.col("id") % 40).alias("t"), "id"
+    )
+    spark.conf.set(HOT_ROWS_CONF, "50")
+    try:
+        for order in (["t", "id"], ["-t", "id"], ["t", "-id"]):
+            one = Timeline.measured(df, ["k"], order).df
+            other = Timeline.measured(df.repartition(7), ["k"], order).df
+            assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+            assert one.groupBy(SLICE).count().agg(F.max("count")).first()[0] <= 50
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+
+
 def test_every_report_can_be_ordered(spark, small, capsys, monkeypatch):
     used = set()
 
