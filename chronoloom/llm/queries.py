@@ -92,7 +92,3 @@ def queries() -> dict[str, Query]:
             op10_sharding,
         )
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as contract
 from chronoloom.llm import queries
 from chronoloom.llm.common import fresh
+from compare import difference, duck
 
 COLUMNS = {
     "op1_": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
@@ -34,6 +35,12 @@ def test_registered_queries_return_their_columns(spark, small, start):
     assert found.count() > 0
 
 
+def test_quality_rules_match_their_sql(spark, small):
+    name = "op1_quality_rules"
+    found = contract.queries()[name](spark, small)
+    assert difference(found, contract.oracle_sql()[name], duck(small)) is None
+
+
 def test_all_are_registered():
     assert set(queries.queries()) | {"pipeline"} <= set(contract.queries())
 
