@@ -61,9 +61,13 @@ def share_and_rank(
     ).withColumn(share, ratio(F.col(value), F.col(total)) * 100)
 
 
-def rank_in_group(df: DataFrame, group: Iterable[str], value: str, name: str) -> DataFrame:
-    """Rank by descending value in groups of any size."""
-    return Timeline.measured(df, group, [f"-{value}"]).ranks({name: "rank"}).rows()
+def rank_in_group(
+    df: DataFrame, group: Iterable[str], value: str, name: str,
+    sizes_from: DataFrame | None = None,
+) -> DataFrame:
+    """Rank by descending value in groups of any size; ``sizes_from`` as in Timeline.measured."""
+    line = Timeline.measured(df, group, [f"-{value}"], sizes_from)
+    return line.ranks({name: "rank"}).rows()
 
 
 def top_category(category: str, amount: str) -> Column:

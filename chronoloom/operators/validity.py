@@ -111,7 +111,8 @@ def _spans_by_month(known: DataFrame, facts: DataFrame, at: str) -> DataFrame:
     return (
         known.withColumn("_first", F.greatest(month_start("from"), first_month))
         .withColumn("_last", F.least(month_start("until"), last_month))
-        .filter(F.col("_first") <= F.col("_last"))
+        # GREATEST and LEAST skip unknowns: without facts there are no months either.
+        .filter(first_month.isNotNull() & (F.col("_first") <= F.col("_last")))
         .withColumn(
             "_span_month",
             F.explode(F.sequence("_first", "_last", F.expr("interval 1 month"))),

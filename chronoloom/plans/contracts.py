@@ -129,12 +129,13 @@ def subscription_activity(
 
 def contract_billing(
     contracts: DataFrame, bills: DataFrame, *, version_tie: Iterable[str] = (),
-    bill_order: Iterable[str] = (), ordered: bool = False,
+    bill_order: Iterable[str] = (), sizes_from: DataFrame | None = None, ordered: bool = False,
 ) -> DataFrame:
     """Bills priced by the contract version valid on their date, per customer and month.
 
     Input: contracts (contract_id, customer_id, start_date, end_date, base_price), bills
-    (bill_id, contract_id, bill_date, qty).
+    (bill_id, contract_id, bill_date, qty). ``sizes_from`` is a cheaper table with the contract_id
+    of every bill, to count busy contracts in.
     """
     priced = interval_match_best(
         bills,
@@ -145,6 +146,7 @@ def contract_billing(
         take={"customer_id": "customer_id", "base_price": "base_price"},
         fact_id=["bill_id"],
         fact_order=bill_order,
+        sizes_from=sizes_from,
     )
     monthly = monthly_rollup(
         priced, ["customer_id"], "bill_date",
@@ -159,14 +161,17 @@ def contract_billing(
 
 def price_anomaly(
     orders: DataFrame, prices: DataFrame, *, line_order: Iterable[str] = (),
-    version_tie: Iterable[str] = (), low: float = 0.5, high: float = 1.8, ordered: bool = False,
+    version_tie: Iterable[str] = (), low: float = 0.5, high: float = 1.8,
+    sizes_from: DataFrame | None = None, ordered: bool = False,
 ) -> DataFrame:
     """Order lines with their final price (the historical one where none was given) and whether
     that is far from the product's mean list price.
 
     Input: orders (order_id, product_id, customer_id, order_date, quantity, unit_price), prices
-    (product_id, start_date, end_date, price).
+    (product_id, start_date, end_date, price). ``sizes_from`` is a cheaper table with the
+    product_id of every line, to count busy products in.
     """
+    sizes_from = orders if sizes_from is None else sizes_from
     lines = keep_latest(orders, ["order_id", "product_id"], ["-order_date", *line_order])
     priced = interval_match_best(
         lines,
@@ -175,14 +180,17 @@ def price_anomaly(
         at="order_date",
         prefer=["end_date", "start_date", *version_tie],
         take={"price": "_historical"},
-        sizes_from=orders,
+        sizes_from=sizes_from,
     )
     clean = _clean(prices, "product_id", [f"-{c}" for c in version_tie])
     means = clean.groupBy(F.col("product_id").alias("_product")).agg(
         F.try_divide(F.sum("price").cast("double"), F.count("price").cast("double")).alias("_mean")
     )
     found = (
-        lookup_join(priced, means, {"product_id": "_product"}, sizes_from=orders)
+        lookup_join(
+            priced, means, {"product_id": "_product"}, right_rows=prices.count(),
+            sizes_from=sizes_from,
+        )
         .withColumn("final_price", resolve_price("unit_price", "_historical"))
         .select(
             "order_id",
@@ -280,14 +288,17 @@ def license_usage(
 
 def effective_price(
     sales: DataFrame, prices: DataFrame, campaigns: DataFrame, *,
-    sale_order: Iterable[str] = (), version_tie: Iterable[str] = (), ordered: bool = False,
+    sale_order: Iterable[str] = (), version_tie: Iterable[str] = (),
+    sizes_from: DataFrame | None = None, ordered: bool = False,
 ) -> DataFrame:
     """Each sale with the best campaign of its day, the price version that started last, and the
     price after discount.
 
     Input: sales (sale_id, product_id, sale_date, qty), prices (product_id, start_date, end_date,
-    price), campaigns (product_id, start_date, end_date, discount_pct).
+    price), campaigns (product_id, start_date, end_date, discount_pct). ``sizes_from`` is a cheaper
+    table with the product_id of every sale, to count busy products in.
     """
+    sizes_from = sales if sizes_from is None else sizes_from
     discounted = interval_match_best(
         sales,
         campaigns,
@@ -297,6 +308,7 @@ def effective_price(
         take={"discount_pct": "discount_pct"},
         fact_id=["sale_id"],
         fact_order=sale_order,
+        sizes_from=sizes_from,
     )
     priced = interval_match_best(
         discounted,
@@ -305,7 +317,7 @@ def effective_price(
         at="sale_date",
         prefer=["start_date", "end_date", *version_tie],
         take={"price": "price"},
-        sizes_from=sales,
+        sizes_from=sizes_from,
     )
     gross = F.col("qty") * F.col("price")
     found = priced.select(

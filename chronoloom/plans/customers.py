@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.functions import flag, ratio
+from chronoloom.functions import flag, month_start, ratio
 from chronoloom.operators.compose import rank_in_group, top_category
 from chronoloom.operators.periods import monthly_rollup
 from chronoloom.plans._common import report
@@ -44,6 +44,8 @@ def customer_360(
         ["mes"],
         "_month_total",
         "rank_mes",
+        # A month has at least as many sales as customers; no need for the rollup to count these.
+        sizes_from=sales.select(month_start("sale_date").alias("mes")),
     )
     found = (
         customers.select("customer_id", "country")

@@ -103,6 +103,11 @@ def _drivers(i: Inputs) -> DataFrame:
     )
 
 
+def _line_keys(i: Inputs, name: str) -> DataFrame:
+    """The part of every line: lookups by part count their busy keys in this one column."""
+    return i.table("lineitem").select(F.col("l_partkey").alias(name))
+
+
 def _brand_metrics(i: Inputs) -> DataFrame:
     return brands.brand_metrics(i.brand_lines())
 
@@ -156,11 +161,13 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
         contracts.contract_billing(
             _contracts(i), _bills(i), version_tie=["customer_id", "base_price"],
             bill_order=["-bill_date", "product_id", "l_suppkey", "l_extendedprice"],
+            sizes_from=_line_keys(i, "contract_id"),
         )
     ),
     "price_anomaly": lambda i: _finish(
         contracts.price_anomaly(
-            i.order_lines(), i.versions(), line_order=_LINE_ORDER, version_tie=["price"]
+            i.order_lines(), i.versions(), line_order=_LINE_ORDER, version_tie=["price"],
+            sizes_from=_line_keys(i, "product_id"),
         )
     ),
     "resolved_claims": lambda i: _finish(
@@ -182,6 +189,7 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
             _priced_sales(i), i.versions(), i.campaigns(),
             sale_order=["-sale_date", "product_id", "l_suppkey", "l_extendedprice"],
             version_tie=["price"],
+            sizes_from=_line_keys(i, "product_id"),
         )
     ),
     # customers

@@ -354,3 +354,40 @@ def test_ticket_of_zero_is_unknown(spark):
     metrics = brands.brand_metrics(lines)
     assert [r.ticket_med_marca for r in metrics.collect()] == [None, None]
     assert {r.valida_ticket for r in brands.brand_checks_ticket(metrics).collect()} == {"Erro"}
+
+
+# -- equivalences -----------------------------------------------------------------------------
+
+
+def same_rows(a, b):
+    return sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(
+        map(str, b.select(sorted(b.columns)).collect())
+    )
+
+
+def test_figures_do_not_depend_on_the_match(spark, small):
+    """Jobs that leave out a match whose columns they do not use give what they would with it."""
+    i, order = Inputs(spark, small), ["l_partkey", "l_suppkey", "l_extendedprice"]
+    matched = contracts.resolved_logs(i.subscriptions(), i.usage_logs(), log_order=order)
+    assert same_rows(
+        contracts.subscription_churn_risk(i.usage_logs(), i.cancellations(), log_order=order),
+        contracts.subscription_churn_risk(matched, i.cancellations(), log_order=order),
+    )
+    sales = i.sales().withColumnRenamed("amount", "sale_price")
+    covered = contracts.resolved_claims(i.sales(), i.versions(), i.claims(), version_tie=["price"])
+    claims = covered.select(i.claims().columns)
+    assert same_rows(
+        contracts.warranty_claims(sales, i.claims()), contracts.warranty_claims(sales, claims)
+    )
+
+
+def test_no_facts_have_no_months(spark, monkeypatch):
+    from chronoloom.operators import validity
+
+    monkeypatch.setattr(validity, "VERSIONS_PER_KEY", 0)
+    facts = spark.sql("select 1 k, date'2024-01-01' d").limit(0)
+    versions = spark.sql("select 1 k, date'0001-01-01' start_date, date'9999-12-31' end_date, 5 v")
+    found = validity.interval_match_best(
+        facts, versions, key="k", at="d", prefer=["v"], take={"v": "v"}
+    )
+    assert found.count() == 0

@@ -147,17 +147,21 @@ def test_slices_depend_on_rows_alone(spark):
 
 
 def test_every_report_can_be_ordered(spark, small, capsys, monkeypatch):
-    used = set()
+    used = []
 
     def ordered(df, order, _):
-        used.add(tuple(order))
-        return df.orderBy(*order)
+        used.append((tuple(order), df.orderBy(*order)))
+        return used[-1][1]
 
     for module in (churn, contracts, customers, delivery, instability, orders, usage):
         monkeypatch.setattr(module, "report", ordered)
     for name, query in QUERIES.items():
         query(spark, small)
     assert len(used) > 10
+    for order, found in used:
+        # Ascending, unknown keys first: the sequence of the sorted reports.
+        keys = [tuple((v is not None, v) for v in r) for r in found.select(*order).collect()]
+        assert keys == sorted(keys), order
     found = QUERIES["calendar_churn"](spark, small)
     assert "rangepartitioning(customer_id" in plan(capsys, found)
     keys = [(r.customer_id, r.month_start) for r in found.collect()]
