@@ -125,8 +125,12 @@ def test_no_exchange_on_a_large_group_alone(spark, capsys):
         assert "partial_sum" in exchange.group(0)
 
 
-def test_a_series_without_a_key_is_never_in_one_task(spark, small, capsys):
-    text = plan(capsys, QUERIES["temperature_jumps"](spark, small))
+def test_a_large_series_without_a_key_is_not_in_one_task(spark, small, capsys):
+    spark.conf.set(HOT_ROWS_CONF, "400")
+    try:
+        text = plan(capsys, QUERIES["temperature_jumps"](spark, small))
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
     for exchange in re.finditer(r"Exchange SinglePartition.*\n(.*)\n(.*)", text):
         assert "partial_" in exchange.group(1) or "HashAggregate" in exchange.group(1) + exchange.group(2)
 
