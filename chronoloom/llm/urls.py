@@ -19,7 +19,7 @@ from chronoloom.operators.lookup import lookup_join
 
 DAMPING, STEPS = 0.85, 12
 # A host is blocked when its distrust is above its trust and at least this part of what a blocked
-# seed starts with.
+# seed starts with; both in units of what a seed of their kind starts with.
 LEAST_DISTRUST = 0.25
 # Share of a host's pages that rules must decide alike to make it a seed.
 SEED_SHARE = 0.5
@@ -121,8 +121,8 @@ def host_verdicts(parsed: DataFrame, rules: Sequence[UrlRule] = RULES) -> DataFr
         )
     )
     edges = cut(host_edges(parsed))
-    trusted, _ = _seeds(hosts, "allowed")
-    blocked, n = _seeds(hosts, "barred")
+    trusted, n_trusted = _seeds(hosts, "allowed")
+    blocked, n_blocked = _seeds(hosts, "barred")
     trust = spread(edges, trusted).select(
         F.col("host").alias("t_host"), F.col("rank").alias("trust")
     )
@@ -139,8 +139,9 @@ def host_verdicts(parsed: DataFrame, rules: Sequence[UrlRule] = RULES) -> DataFr
             F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
         )
     )
-    enough = F.col("distrust") >= LEAST_DISTRUST * (1 - DAMPING) / n
-    return both.withColumn("blocked", enough & (F.col("distrust") > F.col("trust")))
+    # In units of one seed, so that no verdict depends on how many seeds the corpus has of a kind.
+    t, d = (F.col(k) * n / (1 - DAMPING) for k, n in (("trust", n_trusted), ("distrust", n_blocked)))
+    return both.withColumn("blocked", (d >= LEAST_DISTRUST) & (d > t))
 
 
 def filtered(
