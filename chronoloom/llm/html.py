@@ -30,6 +30,8 @@ INLINE = (
     "span strike strong sub sup time tt u var wbr"
 ).split()
 CONTAINERS = ("article", "main")
+# Elements that group blocks: only these can hold an article that nothing names.
+HOLDERS = ("html", "body", "div", "section", "center", "table", "tbody")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # Elements that an opening tag of the same group ends.
 ENDS_PARAGRAPH = (
@@ -200,11 +202,9 @@ def main_text(html: str | None) -> str:
     if not kept:
         return ""
     named: dict[int, float] = {}
-    totals: dict[int, float] = {}
     for elements, _, text in kept:
         weight = scored[page.paths[elements[-1]] if elements else ""].score + len(text.strip())
         for e in elements:
-            totals[e] = totals.get(e, 0.0) + weight
             if page.names[e] in CONTAINERS:
                 named[e] = named.get(e, 0.0) + weight
     if named:
@@ -218,20 +218,24 @@ def main_text(html: str | None) -> str:
     else:
         best_score = max(scored[page.paths[e[-1]] if e else ""].score for e, _, _ in kept)
         good = {name for name, p in scored.items() if p.score >= THRESHOLD * best_score}
-        weight_of_all = sum(
-            scored[page.paths[e[-1]] if e else ""].score + len(t.strip()) for e, _, t in kept
-        )
-        holders = [e for e, w in totals.items() if w >= 0.5 * weight_of_all]
-        inner = max(holders, default=None)
-        chosen = [
-            (b, t)
-            for elements, b, t in kept
-            if (inner is None or inner in elements)
-            and (
-                (page.paths[elements[-1]] if elements else "") in good
-                or any(page.names[e] in HEADINGS for e in elements)
-            )
+        content = [
+            set(e)
+            for e, _, _ in kept
+            if (page.paths[e[-1]] if e else "") in good
+            and not any(page.names[x] in HEADINGS for x in e)
         ]
+        shared = set.intersection(*content) if content else ()
+        # The smallest element that holds all content; headings may stand before it.
+        inner = max((e for e in shared if page.names[e] in HOLDERS), default=None)
+        chosen, begun = [], False
+        for elements, b, t in kept:
+            within = inner is None or inner in elements
+            begun = begun or within
+            heading = any(page.names[e] in HEADINGS for e in elements)
+            if (within or not begun) and (
+                heading or (page.paths[elements[-1]] if elements else "") in good
+            ):
+                chosen.append((b, t))
     blocks: dict[int, list[str]] = {}
     for block, text in chosen:
         blocks.setdefault(block, []).append(text)
