@@ -23,7 +23,6 @@ them share a slice for sure.
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 
@@ -33,6 +32,7 @@ from pyspark.sql import types as T
 
 from chronoloom.operators.lookup import BROADCAST_ROWS, lookup_join
 from chronoloom.operators.sizes import hot_groups, hot_row_limit
+from chronoloom.operators.storage import stored
 
 SLICE = "_slice"
 HALO = "_halo"
@@ -51,19 +51,6 @@ _RUNNING: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column],
 _Step = tuple[Callable[[WindowSpec], Mapping[str, Column]], int, int]
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and read them back from there.
-
-    The folder is the session's spark.checkpoint.dir; where none is set, as in tests on one
-    machine, a temporary one is.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronoloom-"))
-    return df.checkpoint()
-
-
 @dataclass(frozen=True)
 class Timeline:
     """Rows ordered by ``order`` within the groups of ``part``.
@@ -200,7 +187,7 @@ class Timeline:
         line = self._settled()
         if line.written:
             return line
-        return replace(line, large=shared_checkpoint(line.large), written=True)
+        return replace(line, large=stored(line.large), written=True)
 
     def _halo(
         self, hot: DataFrame, columns: list[str], order: tuple[str, ...], reach: int
@@ -328,7 +315,7 @@ class Timeline:
         """
         first = self.order[0]
         keys = (*self.part, first.removeprefix("-"))
-        values = shared_checkpoint(
+        values = stored(
             self.large.groupBy(*keys).agg(*(e.alias(n) for n, e in per_value.items()))
         )
         line = Timeline.measured(values, self.part, [first]).running(totals)
