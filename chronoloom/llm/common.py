@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.operators.storage import shared_folder, stored  # noqa: F401
+
 # Between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[ \t-\r]+"
 
@@ -45,21 +46,10 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only where
-    none is set, as in tests on one machine, a temporary one is made and set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="chronoloom-"))
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, so that its lineage ends there and a lost
     executor costs a read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import (
+    alignment,
+    bpe,
     html,
     licenses,
     mixing,
     neighbours,
     packing,
     quality,
+    resampling,
     sharding,
     simhash,
     suffixes,
@@ -83,12 +86,42 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.sharded(documents(spark, folder))
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Draw a quarter of the documents, those most like the benchmark's texts."""
+    return resampling.resampled(
+        documents(spark, folder), documents(spark, folder, "benchmark")
+    )
+
+
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encoded(documents(spark, folder), vocabulary, public_tokenizers.PATTERN)
+    return bpe.digests(ids, vocabulary)
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    found = alignment.aligned(
+        documents(spark, folder),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"),
+        groups=False,
+    )
+    return alignment.scored(found).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         q.__name__: q
         for q in (
             op1_quality_rules, op2_simhash, op3_mixing, op4_packing, op5_url_filters,
             op6_license_scan, op7_html_extraction, op8_suffix_dedup, op9_nearest_neighbours,
-            op10_sharding,
+            op10_sharding, op11_importance_resampling, op12_byte_bpe, op13_token_alignment,
         )
     }
