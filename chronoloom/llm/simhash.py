@@ -127,21 +127,32 @@ def one_of_each(
 ) -> DataFrame:
     """The rows of ``docs`` that are first of their component, with their own columns.
 
-    First is the smallest id, so a component loses all rows but those with its ``component_id``;
-    of repeated ids one row stays, chosen by the text's hash.
+    The row that stays has the component's smallest id (null ids last), of equal ids the smallest
+    hash of id and text. Rows are told apart by id and text together, so rows that share an id or
+    have none, but differ in their texts, are documents of their own. Rows equal in both are one
+    document; the one with the smallest hash of the other columns stays.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, radius=radius)
-    name, order = fresh(docs, "first_id", "first_row")
-    first = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("component_id").alias(name))
-        .distinct()
+    name, kept, order = fresh(docs, "row", "kept", "order")
+    own = F.concat_ws(
+        "\x00", F.col(doc_id).isNull().cast("string"), F.col(doc_id).cast("string"),
+        F.col(text).isNull().cast("string"), F.col(text),
     )
-    one = Window.partitionBy(doc_id).orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return (
-        docs.join(first, F.col(doc_id).eqNullSafe(F.col(name)))
-        .drop(name)
-        .withColumn(order, F.row_number().over(one))
-        .filter(F.col(order) == 1)
-        .drop(order)
+    named = docs.withColumn(name, F.sha2(own, 256))
+    row = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(name).alias("key"))
+    prints = cut(fingerprints(named.withColumn(kept, row), doc_id=kept, text=text))
+    roots = connected(links(prints, radius)).withColumnRenamed("node", "bits")
+    # Combined per fingerprint first, so that copies without number are one row.
+    firsts = (
+        prints.groupBy("bits")
+        .agg(F.min("doc_id").alias("first"))
+        .join(roots, "bits", "left")
+        .groupBy(F.coalesce("root", "bits").alias("root"))
+        .agg(F.min("first").alias("first"))
+        .select(F.col("first.key").alias(kept))
     )
+    # Equal rows are cut to one per task before they are shuffled.
+    rest = [c for c in docs.columns if c not in (doc_id, text)]
+    ties = F.xxhash64(*(rest or [doc_id]))
+    one = Window.partitionBy(name).orderBy(ties)
+    single = named.withColumn(order, F.row_number().over(one)).filter(F.col(order) == 1)
+    return single.join(firsts, F.col(name) == F.col(kept)).select(*docs.columns)

@@ -417,3 +417,20 @@ def test_shards_of_awkward_rows(spark, awkward, nothing):
     same = spark.createDataFrame([(1, "x" * 100)] * 200, "doc_id long, text string")
     check_shards(sharding.sharded(same, limit=1000).collect(), 1000)
     assert sharding.sharded(nothing).count() == 0
+
+
+def test_documents_that_are_no_copies_stay_whatever_their_ids(spark):
+    """Rows without an id, or that share one, are documents of their own; a copy without an id goes."""
+    texts = [" ".join(f"{w}{i * 7 % 53}" for i in range(80)) for w in ("ant", "bee", "cat", "dog", "elk")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[2]), (7, texts[3]), (7, texts[4])]
+    table = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = simhash.one_of_each(table).collect()
+    assert sorted(r.n for r in kept) == [0, 1, 3, 4, 5]
+
+
+def test_equal_rows_are_one_document(spark):
+    text = " ".join(f"fox{i}" for i in range(60))
+    table = spark.createDataFrame([(3, text, n) for n in range(50)] + [(4, text, 99)], "doc_id long, text string, n int")
+    kept = simhash.one_of_each(table.repartition(5)).collect()
+    again = simhash.one_of_each(table.repartition(3)).collect()
+    assert len(kept) == 1 and kept == again and kept[0].doc_id == 3
