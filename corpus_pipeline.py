@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import jaccard, mixing, packing, quality, suffixes
+from chronoloom.llm import mixing, packing, quality, simhash, suffixes
 from chronoloom.llm.common import documents, shared_folder
 
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a Jaccard similarity of 0.8 or more."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of SimHash fingerprints that link at two or fewer bits."""
+    return simhash.one_of_each(docs, radius=simhash.RADIUS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-# The stages use shingle sets, suffix order, draws and a genetic search, which SQL cannot express.
+# The stages use fingerprints, suffix order, draws and a genetic search, which SQL cannot express.
 ORACLE_SQL = None
 
 
