@@ -20,7 +20,7 @@ from chronoloom.operators.lookup import lookup_join
 from chronoloom.operators.periods import monthly_rollup
 from chronoloom.operators.sequence import with_prev
 from chronoloom.operators.timeline import Timeline
-from chronoloom.operators.validity import interval_match_best
+from chronoloom.operators.validity import Versions, interval_match_all, interval_match_best
 from chronoloom.plans._common import report
 
 
@@ -299,26 +299,18 @@ def effective_price(
     table with the product_id of every sale, to count busy products in.
     """
     sizes_from = sales if sizes_from is None else sizes_from
-    discounted = interval_match_best(
+    priced = interval_match_all(
         sales,
-        campaigns,
+        [
+            Versions(campaigns, ["discount_pct"], {"discount_pct": "discount_pct"}),
+            Versions(prices, ["start_date", "end_date", *version_tie], {"price": "price"}),
+        ],
         key="product_id",
         at="sale_date",
-        prefer=["discount_pct"],
-        take={"discount_pct": "discount_pct"},
         fact_id=["sale_id"],
         fact_order=sale_order,
         sizes_from=sizes_from,
     )
-    priced = interval_match_best(
-        discounted,
-        prices,
-        key="product_id",
-        at="sale_date",
-        prefer=["start_date", "end_date", *version_tie],
-        take={"price": "price"},
-        sizes_from=sizes_from,
-    )
     gross = F.col("qty") * F.col("price")
     found = priced.select(
         "sale_id",

@@ -381,10 +381,9 @@ def test_figures_do_not_depend_on_the_match(spark, small):
     )
 
 
-def test_no_facts_have_no_months(spark, monkeypatch):
+def test_no_facts_have_no_blocks(spark):
     from chronoloom.operators import validity
 
-    monkeypatch.setattr(validity, "VERSIONS_PER_KEY", 0)
     facts = spark.sql("select 1 k, date'2024-01-01' d").limit(0)
     versions = spark.sql("select 1 k, date'0001-01-01' start_date, date'9999-12-31' end_date, 5 v")
     found = validity.interval_match_best(

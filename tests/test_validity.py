@@ -31,12 +31,11 @@ VERSIONS = [
 
 
 @pytest.fixture(
-    params=[(128, 1000, 1000), (0, 1000, 1000), (128, 0, 1000), (128, 0, 1), (0, 0, 1)],
-    ids=["by key", "by month", "shuffled", "salted", "salted by month"],
+    params=[(1000, 1000), (0, 1000), (0, 1)],
+    ids=["broadcast", "shuffled", "salted"],
 )
 def match(request, spark, monkeypatch):
-    per_key, broadcast, hot = request.param
-    monkeypatch.setattr(validity, "VERSIONS_PER_KEY", per_key)
+    broadcast, hot = request.param
     monkeypatch.setattr(lookup, "BROADCAST_ROWS", broadcast)
     spark.conf.set(HOT_ROWS_CONF, str(hot))
     request.addfinalizer(lambda: spark.conf.unset(HOT_ROWS_CONF))
@@ -108,36 +107,98 @@ def test_no_facts(match):
     assert match(["end_date"], facts=match.facts.limit(0)) == {}
 
 
-def test_many_versions_of_one_key(spark):
-    """More versions than fit one array: against a plain join and maximum."""
+def plain_match(spark, facts, versions, prefer):
+    """A join on the interval and a maximum."""
+    facts.createOrReplaceTempView("f_")
+    versions.createOrReplaceTempView("v_")
+    order = ", ".join(f"v_.{c}" for c in prefer)
+    return spark.sql(
+        f"select f_.*, b.name from f_ left join (select f, max(struct({order}, name)).name name"
+        " from f_ join v_ on f_.k = v_.k and at between start_date and end_date group by f) b"
+        " using (f)"
+    )
+
+
+@pytest.mark.parametrize("prefer", [["end_date", "id"], ["start_date", "id"], ["worth", "id"]])
+def test_many_versions_of_one_key(spark, prefer):
     versions = spark.sql(
         "select 1 k, date_add(date'2024-01-01', cast(id * 7 % 365 as int)) start_date,"
         " date_add(date'2024-01-01', cast(id * 7 % 365 + id % 50 as int)) end_date,"
-        " cast(id as string) name, id from range(600)"
+        " cast(id as string) name, id, id * 7919 % 101 worth from range(600)"
     )
     facts = spark.sql(
         "select 1 k, timestampadd(HOUR, cast(id * 5 as int), timestamp_ntz'2023-12-20') at, id f"
         " from range(1900)"
     )
     found = interval_match_best(
-        facts, versions, key="k", at="at", prefer=["end_date", "id"], take={"name": "name"}
+        facts, versions, key="k", at="at", prefer=prefer, take={"name": "name"}
+    ).select("f", "k", "at", "name")
+    plain = plain_match(spark, facts, versions, prefer).select("f", "k", "at", "name")
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+
+
+@pytest.mark.parametrize("prefer", [["start_date", "id"], ["worth", "id"]])
+def test_ten_thousand_nested_versions_of_one_key(spark, prefer):
+    """Nested over 27 years, so that thousands cover a fact; one ends never."""
+    versions = spark.sql(
+        "select 1 k, date_add(date'1990-01-01', cast(id div 2 as int)) start_date,"
+        " if(id = 0, date'9999-12-31', date_sub(date'2020-01-01', cast((id + 1) div 2 as int)))"
+        " end_date, cast(id as string) name, id, id * 7919 % 10007 worth from range(10000)"
     )
-    facts.createOrReplaceTempView("f_")
-    versions.createOrReplaceTempView("v_")
-    plain = spark.sql(
-        "select f_.k, at, f, max(struct(end_date, v_.id, name)).name name from f_ left join v_"
-        " on f_.k = v_.k and at between start_date and end_date group by all"
+    facts = spark.sql(
+        "select 1 k, timestampadd(HOUR, cast(id * 1501 as int), timestamp_ntz'1989-12-20') at,"
+        " id f from range(240)"
     )
+    found = interval_match_best(
+        facts, versions, key="k", at="at", prefer=prefer, take={"name": "name"}
+    ).select("f", "k", "at", "name")
+    plain = plain_match(spark, facts, versions, prefer).select("f", "k", "at", "name")
     assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
-    widest = validity._spans_by_month(
-        versions.selectExpr(
-            "k _span_key", "cast(start_date as timestamp_ntz) from",
-            "cast(end_date as timestamp_ntz) until", "struct(id) best",
-        ),
+
+
+def test_segments_do_not_overlap_and_stay_few(spark):
+    spans = spark.sql(
+        "select 1 _span_key, cast(a.id as int) `from`, cast(b.id as int) until,"
+        " struct(hash(a.id, b.id) p0) best from range(0, 512, 2) a join range(0, 512, 2) b"
+        " on a.id <= b.id lateral view explode(array(1, 2, 3)) t as n"
+    )
+    (row,) = validity.segments(spans).collect()
+    assert spans.count() == 3 * 32896 and len(row["from"]) == len(row.best) <= 513
+    assert row["from"] == sorted(set(row["from"]))
+    held = {(r["from"], r.until): r.best.p0 for r in spans.distinct().collect()}
+    for place, best in list(zip(row["from"], row.best))[::16]:
+        covering = [v for (s, e), v in held.items() if s <= place <= e]
+        assert (best and best.p0) == max(covering, default=None)
+
+
+def test_several_version_tables_by_one_join(spark, capsys):
+    """Two tables at once give what two matches give, with one lookup of the facts."""
+    first = spark.sql(
+        "select id % 7 k, date_add(date'2024-01-01', cast(id * 3 % 200 as int)) start_date,"
+        " date_add(date'2024-01-01', cast(id * 3 % 200 + id % 9 as int)) end_date, id a"
+        " from range(90)"
+    )
+    second = spark.sql(
+        "select id % 5 k, date_add(date'2024-02-01', cast(id * 5 % 150 as int)) start_date,"
+        " date_add(date'2024-02-01', cast(id * 5 % 150 + id % 40 as int)) end_date, id b"
+        " from range(60)"
+    )
+    facts = spark.sql(
+        "select id % 9 k, timestampadd(HOUR, cast(id * 7 as int), timestamp_ntz'2023-12-30') at,"
+        " id f from range(700)"
+    )
+    found = validity.interval_match_all(
         facts,
-        "at",
-    ).selectExpr("max(size(_spans))").first()[0]
-    assert 0 < widest <= 31 * 32 // 2 + 31
+        [validity.Versions(first, ["a"], {"a": "a"}), validity.Versions(second, ["b"], {"b": "b"})],
+        key="k", at="at",
+    )
+    one = interval_match_best(facts, first, key="k", at="at", prefer=["a"], take={"a": "a"})
+    both = interval_match_best(one, second, key="k", at="at", prefer=["b"], take={"b": "b"})
+    assert found.columns == both.columns
+    assert found.exceptAll(both).isEmpty() and both.exceptAll(found).isEmpty()
+    capsys.readouterr()
+    found.explain()
+    assert capsys.readouterr().out.count("BroadcastHashJoin") == 1
 
 
 def test_bounds_must_be_dates(spark):
