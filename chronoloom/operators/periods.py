@@ -18,47 +18,77 @@ def monthly_rollup(
     return df.groupBy(*keys, month_start(ts).alias(month)).agg(*aggregates)
 
 
+def activity_runs(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """One row per key with ``_runs``, its stretches of consecutive months with a row in order,
+    each with its first and last month (``from``, ``to``). Keys without any known time have none.
+
+    A key's months are gathered as a set, one small entry per calendar month that combines before
+    the shuffle; a run is as long as it likes and still one entry.
+    """
+    months = df.select(key, month_start(ts).alias("_month"))
+    active = months.groupBy(key).agg(F.array_sort(F.collect_set("_month")).alias("_months"))
+    held = F.col("_months")
+    opens = F.filter(
+        held, lambda m, i: F.coalesce(F.get(held, i - 1) != F.add_months(m, -1), F.lit(True))
+    )
+    closes = F.filter(
+        held, lambda m, i: F.coalesce(F.get(held, i + 1) != F.add_months(m, 1), F.lit(True))
+    )
+    pairs = F.zip_with(opens, closes, lambda a, b: F.struct(a.alias("from"), b.alias("to")))
+    return active.select(key, pairs.alias("_runs"))
+
+
 def calendar_spine(
     df: DataFrame, key: str, ts: str, scope: str = "entity", month: str = "month_start"
 ) -> DataFrame:
-    """Every month for every key, with ``active`` telling whether the key had a row in it.
+    """Every month for every key, with ``active`` telling whether the key had a row in it and
+    ``left`` whether it is the first month without one after a stretch with some.
 
     Scope ``entity`` runs from the first to the last month of the key, ``global`` from the first
-    to the last month of the data. The months a key was active in are gathered as a set (one small
-    entry per calendar month) and the calendar is generated next to it, so the dense grid is
-    neither shuffled nor joined.
+    to the last month of the data. Stretches with and without activity follow from the ends of the
+    runs; single months are made of them in the last projection, so the dense grid is neither
+    shuffled nor joined, and no row is looked up in a set.
     """
-    months = df.select(key, month_start(ts).alias("_month"))
-    active = months.groupBy(key).agg(F.collect_set("_month").alias("_active"))
+    if scope not in ("entity", "global"):
+        raise ValueError(f"scope must be entity or global, not {scope!r}")
+    runs, found = activity_runs(df, key, ts), F.col("_runs")
     if scope == "entity":
-        low, high = F.array_min("_active"), F.array_max("_active")
-    elif scope == "global":
-        low = months.select(F.min("_month")).scalar()
-        high = months.select(F.max("_month")).scalar()
+        low, high = F.get(found, 0)["from"], F.element_at(found, -1)["to"]
+        runs = runs.filter(F.size("_runs") > 0)
     else:
-        raise ValueError(f"scope must be entity or global, not {scope!r}")
+        # The months of the first and the last time, which need no set of months.
+        low = df.select(month_start(F.min(ts))).scalar()
+        high = df.select(month_start(F.max(ts))).scalar()
+
+    def stretch(first: Column, last: Column, active: int, left: int) -> Column:
+        return F.struct(
+            first.alias("from"), last.alias("to"), F.lit(active).alias("active"),
+            F.lit(left).alias("left"),
+        )
+
+    after = F.transform(found, lambda r, i: stretch(
+        F.add_months(r["to"], 1),
+        F.coalesce(F.add_months(F.get(found, i + 1)["from"], -1), F.col("_high")), 0, 1,
+    ))
+    before = stretch(
+        F.col("_low"),
+        F.coalesce(F.add_months(F.get(found, 0)["from"], -1), F.col("_high")), 0, 0,
+    )
+    within = F.transform(found, lambda r: stretch(r["from"], r["to"], 1, 0))
+    stretches = F.filter(
+        F.concat(F.array(before), within, after), lambda x: x["from"] <= x["to"]
+    )
+    months = F.sequence(F.col("_part.from"), F.col("_part.to"), F.expr("interval 1 month"))
     return (
-        active.withColumns({"_low": low, "_high": high})
-        .filter(F.col("_low").isNotNull())
+        runs.withColumns({"_low": low, "_high": high})
+        .select(key, F.explode(stretches).alias("_part"))
+        .select(key, "_part", F.explode(months).alias(month))
         .select(
             key,
-            "_active",
-            F.explode(F.sequence("_low", "_high", F.expr("interval 1 month"))).alias(month),
+            month,
+            F.col("_part.active").alias("active"),
+            flag((F.col("_part.left") == 1) & (F.col(month) == F.col("_part.from"))).alias("left"),
         )
-        .select(key, month, flag(F.array_contains("_active", F.col(month))).alias("active"),
-                "_active")
-    )
-
-
-def left_activity(month: str = "month_start") -> Column:
-    """1 in a month without activity whose previous month had some.
-
-    Works on the grid of ``calendar_spine``: consecutive rows are consecutive months, so the
-    previous row's state is looked up in the set of active months instead of by a window.
-    """
-    return flag(
-        (F.col("active") == 0)
-        & F.array_contains("_active", F.add_months(F.col(month), -1))
     )
 
 

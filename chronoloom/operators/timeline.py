@@ -15,9 +15,9 @@ slice); what a slice must know about others is passed along in two small ways:
 * ranks, and totals that rows with the same time share: worked out on one row per distinct time
   (or value) and looked up, so a value with very many rows is combined first.
 
-Results are the same either way. The limit is ``spark.chronoloom.hotRows`` rows per group, and a
-twentieth of that for a series without a key. Rows are told apart by the order columns: only rows equal in all of
-them share a slice for sure.
+Results are the same either way. The limit is ``spark.chronoloom.hotRows`` rows per group. A series
+without a key is one group that would leave all other tasks idle: it is sliced at any size. Rows are
+told apart by the order columns: only rows equal in all of them share a slice for sure.
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ SLICE = "_slice"
 HALO = "_halo"
 # Sampled rows per slice from which bounds are taken.
 SAMPLED = 64
-# A series without a key is sliced from this part of the limit on: one million rows by default.
-ALONE = 20
 
 # Running aggregates: how a slice's own value is combined with what came before it.
 _RUNNING: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
@@ -91,10 +89,8 @@ class Timeline:
         if part:
             hot = tuple(hot_groups(counted, part))
         else:
-            # The only group there is leaves all other tasks idle, so it is sliced much earlier.
             total = counted.agg(F.count(F.lit(1)).alias("_rows")).collect()
-            most = hot_row_limit(df.sparkSession) / ALONE
-            hot = tuple(r for r in total if r["_rows"] > most)
+            hot = tuple(r for r in total if r["_rows"] > 0)
         if not hot:
             return cls(df, part, order)
         plain, mine = _apart(df, part, hot)

@@ -82,7 +82,7 @@ def calendar_churn(
         key,
         "month_start",
         F.col("active").alias("ativo"),
-        periods.left_activity().alias("churn"),
+        F.col("left").alias("churn"),
     )
     return report(found, [key, "month_start"], ordered)
 

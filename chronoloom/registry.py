@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import as_doubles
 from chronoloom.operators.compose import metrics_rollup
 from chronoloom.operators.periods import monthly_rollup
+from chronoloom.operators.storage import scope, shared_stage
 from chronoloom.plans import (
     brands,
     churn,
@@ -109,7 +110,10 @@ def _line_keys(i: Inputs, name: str) -> DataFrame:
 
 
 def _brand_metrics(i: Inputs) -> DataFrame:
-    return brands.brand_metrics(i.brand_lines())
+    """Computed once for all queries of a scope that ask for it."""
+    return shared_stage(
+        i.spark, ("brand_metrics", i.folder), lambda: brands.brand_metrics(i.brand_lines())
+    )
 
 
 _BRAND_ROUND = {"part_pct_marca": 6, "ticket_med_marca": 6, "media_3m": 6}
@@ -280,3 +284,18 @@ def queries() -> dict[str, Query]:
         return lambda spark, folder: job(Inputs(spark, folder))
 
     return {name: bind(job) for name, job in _JOBS.items()}
+
+
+def write_all(
+    spark: SparkSession,
+    folder: str,
+    names: Iterable[str],
+    write: Callable[[str, DataFrame], None],
+) -> None:
+    """Run registered queries in one scope: each result goes to ``write`` with its name, stages
+    that several of them read are computed once, and what was stored on the way is deleted at the
+    end, after a failure too."""
+    jobs = queries()
+    with scope(spark):
+        for name in names:
+            write(name, jobs[name](spark, folder))

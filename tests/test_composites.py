@@ -111,7 +111,7 @@ def activity(spark):
 
 
 def test_calendar_per_entity_and_global(spark):
-    per = rows(periods.calendar_spine(activity(spark), "c", "t").drop("_active"), "c", 2)
+    per = rows(periods.calendar_spine(activity(spark), "c", "t").drop("left"), "c", 2)
     assert [(c, str(m), a) for c, m, a in per] == [
         (1, "2024-01-01", 1), (1, "2024-02-01", 0), (1, "2024-03-01", 1), (2, "2024-04-01", 1),
     ]
@@ -120,6 +120,24 @@ def test_calendar_per_entity_and_global(spark):
     assert dense.count() == 12
 
 
+def test_activity_is_kept_as_runs_of_months(spark, capsys):
+    months = [(1, f"20{m // 12 + 10}-{m % 12 + 1:02}-15") for m in [0, 1, 2, 5, 6, 9, 23, 24] * 2]
+    df = spark.createDataFrame([*months, (2, None)], "c int, t string").selectExpr("c", "cast(t as timestamp_ntz) t")
+    found = {r.c: [(str(x["from"]), str(x["to"])) for x in r["_runs"]] for r in periods.activity_runs(df, "c", "t").collect()}
+    assert found == {
+        1: [("2010-01-01", "2010-03-01"), ("2010-06-01", "2010-07-01"), ("2010-10-01", "2010-10-01"),
+            ("2011-12-01", "2012-01-01")],
+        2: [],
+    }
+    grid = periods.calendar_spine(df, "c", "t", scope="global")
+    left = {(r.c, str(r.month_start)) for r in grid.collect() if r.left}
+    assert left == {(1, "2010-04-01"), (1, "2010-08-01"), (1, "2010-11-01")}
+    assert grid.count() == 50 and grid.filter("active = 1").count() == 8
+    capsys.readouterr()
+    grid.explain()
+    assert "Window" not in capsys.readouterr().out
+
+
 def test_churn_is_the_first_month_without_activity(spark):
     found = rows(churn.calendar_churn(activity(spark), key="c", ts="t"), "c", "month_start")
     assert [(c, a, x) for c, _, a, x in found] == [

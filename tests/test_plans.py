@@ -125,8 +125,9 @@ def test_no_exchange_on_a_large_group_alone(spark, capsys):
         assert "partial_sum" in exchange.group(0)
 
 
-def test_a_large_series_without_a_key_is_not_in_one_task(spark, small, capsys):
-    spark.conf.set(HOT_ROWS_CONF, "400")
+@pytest.mark.parametrize("limit", ["20000000", "400"])
+def test_a_series_without_a_key_is_never_in_one_task(spark, small, capsys, limit):
+    spark.conf.set(HOT_ROWS_CONF, limit)
     try:
         text = plan(capsys, QUERIES["temperature_jumps"](spark, small))
     finally:
