@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import boundary_diff, flag
 from chronoloom.operators import islands as isl
 from chronoloom.operators.rolling import deviates, exceeds, trailing_mean
+from chronoloom.operators.series import split_series
 from chronoloom.operators.timeline import Timeline
 from chronoloom.plans._common import report
 
@@ -28,19 +29,19 @@ def temperature_jumps(
     tie: Iterable[str] = ("leitura_id",), limit: float = 1.5, ordered: bool = False,
 ) -> DataFrame:
     """Split one global series wherever a reading is more than ``limit`` above the one before."""
-    tie = list(tie)
-    line = Timeline.measured(readings.select(ts, value, *tie), [], [ts, *tie])
-    line = line.neighbours(lambda w: {"_step": F.col(value) - F.lag(value).over(w)}, back=1)
-    line = isl.assign_islands(line, flag(F.col("_step") > limit), frame="range")
-    groups = isl.summarize_islands(
-        line.rows(),
-        ["grupo_id"],
-        [
-            *_span(ts, "inicio_periodo", "fim_periodo"),
-            F.min(value).alias("temp_min"),
-            F.max(value).alias("temp_max"),
-            F.count(F.lit(1)).alias("total_leituras"),
-        ],
+    order = [ts, *tie]
+    groups = split_series(
+        readings.select(value, *order),
+        order,
+        value,
+        lambda now, before: flag(now - before > limit),
+        {
+            "inicio_periodo": ("min", F.col(ts)),
+            "fim_periodo": ("max", F.col(ts)),
+            "temp_min": ("min", F.col(value)),
+            "temp_max": ("max", F.col(value)),
+            "total_leituras": ("sum", F.lit(1)),
+        },
     )
     return report(groups, ["grupo_id"], ordered)
 
