@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.ranges import sorted_ranges
-from chronoloom.operators.storage import stored
 
 # How partial figures of a stretch are combined.
 _MERGE = {"min": F.min, "max": F.max, "sum": F.sum}
@@ -36,7 +35,8 @@ def split_series(
     """
     rows = sorted_ranges(df, [F.col(c).asc_nulls_first() for c in order])
     ts = order[0]
-    elements = stored(_elements(rows, ts, value, starts, parts))
+    # Both readers below share the exchange of the written rows.
+    elements = _elements(rows, ts, value, starts, parts)
     ranges = F.broadcast(_ranges(elements, ts))
     number = F.col("_before") + F.col("_run") + F.when(
         F.col(ts).eqNullSafe(F.col("_last")), F.col("_after")
