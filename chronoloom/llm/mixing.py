@@ -2,12 +2,13 @@
 
 Each document draws an exponential key, divided by its quality weight; a source takes whole epochs
 first and then, in key order, documents up to the rest of its budget. Keys are ordered through
-buckets: a monotone map of the key into [0, 1) cut into ranges of some 5,000 documents, sums per
-bucket, and a running sum inside each. No source, however large, is sorted in one task.
+ranges of its logarithm, which hold some 5,000 documents at most whatever the weights, sums per
+range, and a running sum inside each. No source, however large, is sorted in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,6 +78,17 @@ def _key(doc_id: Column, text: Column, seed: int) -> Column:
     return -F.log(u) / quality(body, word_count(text))
 
 
+def _range(key: Column, n: Column) -> Column:
+    """The number of a key's range, in order of keys.
+
+    A quality only shifts the logarithm of an exponential draw, whose density is nowhere above 1/e.
+    So with n rows, ranges of e * BUCKET_ROWS / n in the logarithm hold BUCKET_ROWS rows at most
+    (expected), whatever qualities the source mixes.
+    """
+    scale = F.greatest(F.lit(1.0), n / F.lit(math.e * BUCKET_ROWS))
+    return F.floor(F.log(F.greatest(key, F.lit(1e-300))) * scale)
+
+
 def _decided(drawn: DataFrame, weights: Sequence[float], most_times: float) -> DataFrame:
     """``drawn`` with source_size, target, epochs and ``once_more``, decided by running sums."""
     sizes = drawn.groupBy("source").agg(
@@ -89,10 +101,8 @@ def _decided(drawn: DataFrame, weights: Sequence[float], most_times: float) -> D
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumnRenamed("source", "of_source")
     )
-    place = F.lit(1.0) - F.exp(-F.col("key"))
-    ranges = F.ceil(F.col("n") / F.lit(BUCKET_ROWS))
     placed = lookup_join(drawn, budgets, {"source": "of_source"}, null_safe=True).withColumn(
-        "bucket", F.least(F.floor(place * ranges), ranges - 1)
+        "bucket", _range(F.col("key"), F.col("n"))
     )
     per_bucket = placed.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(

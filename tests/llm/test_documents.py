@@ -434,3 +434,18 @@ def test_equal_rows_are_one_document(spark):
     kept = simhash.one_of_each(table.repartition(5)).collect()
     again = simhash.one_of_each(table.repartition(3)).collect()
     assert len(kept) == 1 and kept == again and kept[0].doc_id == 3
+
+
+@pytest.mark.parametrize("words", [1, 2, 400])
+def test_key_ranges_are_even_for_any_quality(spark, words):
+    """Short texts have a quality of 0.05 and much larger keys; a mix of both is even too."""
+    rows = spark.range(60_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("the word of it " * words)).otherwise(F.lit("x")).alias("text"),
+    )
+    keyed = rows.withColumn("key", mixing._key(F.col("doc_id"), F.col("text"), 7))
+    sizes = keyed.groupBy(mixing._range(F.col("key"), F.lit(60_000)).alias("b")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1.2 * mixing.BUCKET_ROWS
+    low = keyed.groupBy(mixing._range(F.col("key"), F.lit(60_000)).alias("b")).agg(
+        F.min("key").alias("low"), F.max("key").alias("high")).orderBy("b").collect()
+    assert all(a.high <= b.low for a, b in zip(low, low[1:]))
