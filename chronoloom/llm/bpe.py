@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import cut
 from chronoloom.operators.lookup import BROADCAST_ROWS, lookup_join
 
 # Characters of a chunk's own part, and of the part it shares with the next chunk.
@@ -143,11 +144,13 @@ def _stitched(chunks: DataFrame, pattern: str, size: int, overlap: int) -> DataF
             F.least("number", F.col("lost") - 1).alias("piece"),
         )
     )
+    # Written, as both kinds of pieces read it: chunks are pre-tokenised once.
+    placed = cut(placed)
     at = F.col("number") * F.lit(size)
-    cut = F.substring("part", (F.col("from") - at + 1).cast("int"),
+    own = F.substring("part", (F.col("from") - at + 1).cast("int"),
                       F.coalesce(F.col("to") - F.col("from"), F.length("part")).cast("int"))
     parts = chunks.join(placed, ["key", "number"]).select(
-        "key", "piece", "number", "alone", cut.alias("part")
+        "key", "piece", "number", "alone", own.alias("part")
     )
     long = parts.filter(~F.col("alone")).groupBy("key", "piece").agg(
         F.array_sort(F.collect_list(F.struct("number", "part"))).alias("parts")
