@@ -146,6 +146,7 @@ TEMPLATES = (
 )
 NOTICE = r"(?i)licen[sc]|copyright|spdx|all rights reserved|permission|redistribut|public domain"
 BLANK = r"(?md)^[^\p{L}\p{N}\n]*+$"
+LONG_LINE = r"(?md)^.{201,}+$"
 TERM = r"[\p{L}\p{N}]+(?:\.\p{N}+)*"
 LEAST_COSINE = 0.6
 # The best licence must lead any other by this much, or the notice names none.
@@ -209,8 +210,13 @@ def _around(parts: Column, reach: int, mark: str) -> Column:
 
 def _units(body: Column, path: Column) -> Column:
     """Array of (width, text): what of a text is compared."""
-    # A line without a letter or a digit, as between comment marks, parts paragraphs.
-    paragraphs = F.split(F.regexp_replace(body, BLANK, ""), "\n{2,}")
+    # A line without a letter or a digit, as between comment marks, parts paragraphs; a line too
+    # long to be a wrapped one is a paragraph.
+    spaced = F.regexp_replace(F.regexp_replace(body, BLANK, ""), LONG_LINE, "\n$0\n")
+    paragraphs = F.split(spaced, "\n{2,}")
+
+    def labelled(width: str, texts: Column) -> Column:
+        return F.transform(texts, lambda x: F.struct(F.lit(width).alias("width"), x.alias("text")))
 
     def parts(every: Column) -> Column:
         marked = F.filter(every, lambda x: x.rlike(NOTICE))
@@ -222,12 +228,11 @@ def _units(body: Column, path: Column) -> Column:
         whole = F.when(
             path.rlike(FILE_NAME) | (size >= WHOLE_SHARE * F.length(body)), F.array(body)
         ).otherwise(F.array().cast("array<string>"))
-        widths = ("line", lines), ("run", runs), ("stretch", _around(every, 0, "\n\n")), ("whole", whole)
         return F.concat(
-            *(
-                F.transform(texts, lambda x, width=width: F.struct(F.lit(width).alias("width"), x.alias("text")))
-                for width, texts in widths
-            )
+            labelled("line", lines),
+            labelled("run", runs),
+            labelled("stretch", _around(every, 0, "\n\n")),
+            labelled("whole", whole),
         )
 
     return let(paragraphs, parts)

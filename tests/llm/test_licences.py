@@ -113,6 +113,7 @@ def units_of(text: str, path: str) -> list[str]:
     if not notice.search(text):
         return []
     text_lines = [x if re.search(r"[^\W_]", x) else "" for x in text.split("\n")]
+    text_lines = [f"\n{x}\n" if len(x) > 200 else x for x in text_lines]
     paragraphs = re.split(r"\n{2,}", "\n".join(text_lines))
 
     def around(parts, reach, mark):
