@@ -449,3 +449,38 @@ def test_key_ranges_are_even_for_any_quality(spark, words):
     low = keyed.groupBy(mixing._range(F.col("key"), F.lit(60_000)).alias("b")).agg(
         F.min("key").alias("low"), F.max("key").alias("high")).orderBy("b").collect()
     assert all(a.high <= b.low for a, b in zip(low, low[1:]))
+
+
+def test_shards_carry_the_rows(spark, docs, awkward, nothing):
+    for table in (docs, awkward, nothing):
+        found = sharding.sharded_documents(table, limit=3000)
+        *columns, shard = found.columns
+        assert columns == table.columns and shard == "shard"
+        rows = [tuple(r) for r in found.collect()]
+        assert Counter(r[:-1] for r in rows) == Counter(tuple(r) for r in table.collect())
+        place = [columns.index("doc_id"), len(columns)]
+        digest = sharding.sharded(table, limit=3000).collect()
+        assert Counter(tuple(r[i] for i in place) for r in rows) == Counter((r.doc_id, r.shard) for r in digest)
+    clash = spark.createDataFrame([(1, "x", 5)], "doc_id long, text string, Shard int")
+    assert sharding.sharded_documents(clash).columns == ["doc_id", "text", "Shard", "_shard"]
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = [(None, "copy" * 25)] * 700 + [(i, "x" * (i % 90)) for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for parts in (1, 3, 16):
+        dealt = sharding.sharded(table.repartition(parts), limit=250).collect()
+        check_shards(dealt, 250)
+        found.append(Counter((r.doc_id, r.n_bytes, r.shard) for r in dealt))
+    assert found[0] == found[1] == found[2]
+
+
+def test_more_copies_than_hash_bits_tell_apart(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CONTENT_BITS", 4)
+    monkeypatch.setattr(sharding, "PLACE_BITS", 11)
+    monkeypatch.setattr(sharding, "BITS", 15)
+    rows = [(1, "x" * 100)] * 1025 + [(i, "y" * 60) for i in range(200)]
+    dealt = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), limit=150).collect()
+    assert len(dealt) == len(rows)
+    check_shards(dealt, 150)
