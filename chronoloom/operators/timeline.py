@@ -147,7 +147,7 @@ class Timeline:
         return (*self.part, SLICE)
 
     def _window(self, cells: tuple[str, ...]) -> WindowSpec:
-        return Window.partitionBy(*cells).orderBy(*_sort_keys(self.order))
+        return Window.partitionBy(*cells).orderBy(*sort_keys(self.order))
 
     def neighbours(
         self, build: Callable[[WindowSpec], Mapping[str, Column]], back: int = 0, ahead: int = 0
@@ -198,14 +198,14 @@ class Timeline:
             hot.withColumn(
                 "_nth",
                 F.row_number().over(
-                    Window.partitionBy(*self._cells).orderBy(*_sort_keys(_reversed(order)))
+                    Window.partitionBy(*self._cells).orderBy(*sort_keys(_reversed(order)))
                 ),
             )
             .filter(F.col("_nth") <= size)
             .drop("_nth")
         )
         along = Window.partitionBy(*self.part).orderBy(
-            F.col(SLICE).asc() if reach < 0 else F.col(SLICE).desc(), *_sort_keys(order)
+            F.col(SLICE).asc() if reach < 0 else F.col(SLICE).desc(), *sort_keys(order)
         )
         return (
             edge.withColumn(
@@ -262,7 +262,7 @@ class Timeline:
     def ranks(self, names: Mapping[str, str]) -> Timeline:
         """Add rank columns by the first order column: name -> rank | dense_rank | row_number."""
         functions = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}
-        by_value = Window.partitionBy(*self.part).orderBy(*_sort_keys(self.order[:1]))
+        by_value = Window.partitionBy(*self.part).orderBy(*sort_keys(self.order[:1]))
         own = {
             name: functions[kind]()
             .over(self._window(self.part) if kind == "row_number" else by_value)
@@ -356,7 +356,7 @@ class Timeline:
         if frame == "before":
             return self._window(cells).rowsBetween(Window.unboundedPreceding, -1)
         if frame == "range":
-            by_time = Window.partitionBy(*cells).orderBy(*_sort_keys(self.order[:1]))
+            by_time = Window.partitionBy(*cells).orderBy(*sort_keys(self.order[:1]))
             return by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)
         raise ValueError(f"frame must be rows, range or before, not {frame!r}")
 
@@ -433,14 +433,14 @@ def _with_slices(
     sampled = _attached(chosen, listed, part, names, len(hot), "inner")
     group = Window.partitionBy(*part)
     place = F.floor(
-        F.row_number().over(group.orderBy(*_sort_keys(order)))
+        F.row_number().over(group.orderBy(*sort_keys(order)))
         * F.col("_slices")
         / (F.count(F.lit(1)).over(group) + 1)
     )
     bound = F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(columns)))
     bounds = (
         sampled.withColumn("_place", place)
-        .withColumn("_before", F.lag("_place", 1, 0).over(group.orderBy(*_sort_keys(order))))
+        .withColumn("_before", F.lag("_place", 1, 0).over(group.orderBy(*sort_keys(order))))
         .filter(F.col("_place") > F.col("_before"))
         .groupBy(*part)
         .agg(F.array_sort(F.collect_list(F.struct("_place", bound.alias("_bound")))).alias("_found"))
@@ -454,7 +454,7 @@ def _with_slices(
     most = max((len(r["_bounds"]) for r in known), default=0)
     table = spark.createDataFrame(known, bounds.schema)
     rows = _attached(df, table, part, names, sum(len(r["_bounds"]) for r in known), "left")
-    number = F.coalesce(_bounds_passed("_bounds", order, most), F.lit(0))
+    number = F.coalesce(bounds_passed("_bounds", order, most), F.lit(0))
     return rows.withColumn(SLICE, number).drop("_bounds", *names)
 
 
@@ -471,7 +471,7 @@ def _attached(
     return df.join(small, same, how)
 
 
-def _bounds_passed(bounds: str, order: tuple[str, ...], most: int) -> Column:
+def bounds_passed(bounds: str, order: tuple[str, ...], most: int) -> Column:
     """How many of the sorted bounds are not after the row, by binary search."""
 
     def not_after(bound: Column) -> Column:
@@ -500,7 +500,7 @@ def _bounds_passed(bounds: str, order: tuple[str, ...], most: int) -> Column:
     return F.when(F.col(bounds).isNotNull(), found)
 
 
-def _sort_keys(order: Iterable[str]) -> list[Column]:
+def sort_keys(order: Iterable[str]) -> list[Column]:
     return [
         F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_first()
         for c in order

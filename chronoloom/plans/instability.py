@@ -11,6 +11,7 @@ from chronoloom.functions import boundary_diff, flag
 from chronoloom.operators import islands as isl
 from chronoloom.operators.rolling import deviates, exceeds, trailing_mean
 from chronoloom.operators.series import split_series
+from chronoloom.operators.spread import Spread
 from chronoloom.operators.timeline import Timeline
 from chronoloom.plans._common import report
 
@@ -20,6 +21,13 @@ def _line(df: DataFrame, entity: str, ts: str, tie: Iterable[str], *values: str)
     return Timeline.measured(df.select(entity, ts, *tie, *values), [entity], [ts, *tie])
 
 
+def _spread(
+    df: DataFrame, entity: str, ts: str, tie: Iterable[str], back: int, *values: str
+) -> Spread:
+    tie = [c for c in tie if c not in values]
+    return Spread.dealt(df.select(entity, ts, *tie, *values), [entity], [ts, *tie], back)
+
+
 def _span(ts: str, first: str, last: str) -> list:
     return [F.min(ts).alias(first), F.max(ts).alias(last)]
 
@@ -50,10 +58,16 @@ def terminal_instability(
     readings: DataFrame, *, entity: str = "terminal_id", ts: str = "check_time",
     status: str = "status_code", latency: str = "latency_ms", tie: Iterable[str] = (),
     factor: float = 1.3, gap_minutes: int = 5, min_minutes: int = 10, min_unstable: int = 2,
-    ordered: bool = False,
+    spread: bool = False, ordered: bool = False,
 ) -> DataFrame:
-    """Unstable stretches: a bad status, or latency at least ``factor`` times the one before."""
-    line = _line(readings, entity, ts, tie, status, latency)
+    """Unstable stretches: a bad status, or latency at least ``factor`` times the one before.
+
+    With ``spread``, summaries of slices are merged instead of a window per terminal.
+    """
+    if spread:
+        line = _spread(readings, entity, ts, tie, 1, status, latency)
+    else:
+        line = _line(readings, entity, ts, tie, status, latency)
     line = line.neighbours(
         lambda w: {"_latency": F.lag(latency).over(w), "_time": F.lag(ts).over(w)}, back=1
     )
@@ -65,7 +79,30 @@ def terminal_instability(
             "_gap": isl.gap_flag("minute", "_time", ts, gap_minutes),
         }
     )
-    line = isl.assign_islands(line, isl.start_flag(isl.BREAK, "instavel", "_gap"))
+    start = isl.start_flag(isl.BREAK, "instavel", "_gap")
+    long_enough = (F.col("duracao_minutos") >= min_minutes) & (
+        F.col("qtd_instaveis") >= min_unstable
+    )
+    if spread:
+        merged = line.islands(
+            start,
+            F.col("instavel") == 1,
+            {
+                "inicio_periodo": ("min", F.col(ts)),
+                "fim_periodo": ("max", F.col(ts)),
+                "qtd_leituras": ("sum", F.lit(1)),
+                "qtd_instaveis": ("sum", F.col("instavel")),
+                "max_latency": ("max", F.col(latency)),
+            },
+            "grupo_id",
+        )
+        found = merged.select(
+            entity, "grupo_id", "inicio_periodo", "fim_periodo",
+            boundary_diff("minute", "inicio_periodo", "fim_periodo").alias("duracao_minutos"),
+            "qtd_leituras", "qtd_instaveis", "max_latency",
+        ).filter(long_enough)
+        return report(found, [entity, "inicio_periodo"], ordered)
+    line = isl.assign_islands(line, start)
     found = isl.summarize_islands(
         line.rows().filter(F.col("instavel") == 1),
         [entity, "grupo_id"],
@@ -76,7 +113,7 @@ def terminal_instability(
             F.sum("instavel").alias("qtd_instaveis"),
             F.max(latency).alias("max_latency"),
         ],
-        (F.col("duracao_minutos") >= min_minutes) & (F.col("qtd_instaveis") >= min_unstable),
+        long_enough,
     )
     return report(found, [entity, "inicio_periodo"], ordered)
 
@@ -189,10 +226,18 @@ def sensor_drift(
 def energy_anomaly(
     readings: DataFrame, *, entity: str = "machine_id", ts: str = "reading_time",
     value: str = "energy_kw", tie: Iterable[str] = (), rows: int = 6, factor: float = 1.25,
-    gap_minutes: int = 2, min_minutes: int = 10, policy: str = isl.BREAK, ordered: bool = False,
+    gap_minutes: int = 2, min_minutes: int = 10, policy: str = isl.BREAK,
+    spread: bool = False, ordered: bool = False,
 ) -> DataFrame:
-    """Stretches of use above ``factor`` times the mean of the last ``rows`` readings."""
-    line = _line(readings, entity, ts, tie, value)
+    """Stretches of use above ``factor`` times the mean of the last ``rows`` readings.
+
+    With ``spread``, summaries of slices are merged instead of a window per machine.
+    """
+    if spread:
+        # The flag of the row before needs one row more.
+        line = _spread(readings, entity, ts, tie, rows + 1, value)
+    else:
+        line = _line(readings, entity, ts, tie, value)
     line = line.neighbours(
         lambda w: {"_mean": trailing_mean(value, rows, w), "_time": F.lag(ts).over(w)}, back=rows
     )
@@ -204,7 +249,24 @@ def energy_anomaly(
     )
     if policy == isl.ONSET:
         line = line.neighbours(lambda w: {"_was_high": F.lag("_high").over(w)}, back=1)
-    line = isl.assign_islands(line, isl.start_flag(policy, "_high", "_gap", "_time", "_was_high"))
+    start = isl.start_flag(policy, "_high", "_gap", "_time", "_was_high")
+    if spread:
+        merged = line.islands(
+            start,
+            F.col("_high") == 1,
+            {
+                "inicio": ("min", F.col(ts)),
+                "fim": ("max", F.col(ts)),
+                "qtd_leituras": ("sum", F.lit(1)),
+            },
+            "grupo_id",
+        )
+        found = merged.select(
+            entity, "grupo_id", "inicio", "fim",
+            boundary_diff("minute", "inicio", "fim").alias("duracao"), "qtd_leituras",
+        ).filter(F.col("duracao") >= min_minutes)
+        return report(found, [entity, "inicio"], ordered)
+    line = isl.assign_islands(line, start)
     found = isl.summarize_islands(
         line.rows().filter(F.col("_high") == 1),
         [entity, "grupo_id"],

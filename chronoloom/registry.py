@@ -209,6 +209,11 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     "terminal_instability": lambda i: _finish(
         instability.terminal_instability(i.readings(), **_LATENCY, gap_minutes=DAY_MINUTES)
     ),
+    "terminal_instability_spread": lambda i: _finish(
+        instability.terminal_instability(
+            i.readings(), **_LATENCY, gap_minutes=DAY_MINUTES, spread=True
+        )
+    ),
     "node_instability": lambda i: _finish(
         instability.node_instability(
             i.readings(), **_LATENCY, gap_minutes=DAY_MINUTES, min_minutes=0
@@ -223,6 +228,9 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     "energy_anomaly": lambda i: instability.energy_anomaly(
         i.readings(), **_SERIES, value="reading", gap_minutes=DAY_MINUTES
     ),
+    "energy_anomaly_spread": lambda i: instability.energy_anomaly(
+        i.readings(), **_SERIES, value="reading", gap_minutes=DAY_MINUTES, spread=True
+    ),
     "job_degraded": lambda i: _finish(
         instability.job_degraded(i.readings(), **_SERIES, gap_minutes=DAY_MINUTES)
     ),
