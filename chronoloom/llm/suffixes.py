@@ -9,12 +9,18 @@ Documents are dealt into runs. A run sorts its suffixes, settles what repeats wi
 the rest as front-coded slices (common prefix with the one before, then the tail) to the ranges of
 the suffix order. There the sorted slices are merged by a loser tree that keeps every contender's
 common prefix with the last winner and compares from there on, so known prefixes are never read
-again; the merged order brings equal strings next to each other. Suffixes have their gram's hash
-as a first symbol, which makes ranges even without sampling.
-
-No group of equal strings grows with its copies: a run sends one suffix for each different context,
-and grams that occur very often are split by the place of the string, so the texts around a
-frequent passage do not meet in one task either.
+again. Suffixes have their gram's hash as a first symbol, which makes ranges even without sampling.
+
+The merged order settles what repeats: strings that start ``d`` bytes before their suffixes agree
+behind the anchor where all common prefixes between them reach ``length - d``, which the merge has
+found, and before it where the same holds in the order of the reversed bytes there. No string is
+looked up or compared again.
+
+No group grows with its copies: a run sends one suffix for each different context. Grams that occur
+FREQUENT times are split by the place of the string and a hash of the bytes that all strings of BLOCK
+places share; from CROWDED times on, each string is a group of its own, of which a run sends one. So
+a group holds fewer than CROWDED contexts or one per run, also around a line of any length that very
+many documents have amid different texts.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +41,10 @@ from chronoloom.llm.common import shuffle_partitions
 LENGTH = 100
 # Occurrences from which a gram's strings are split by place, and places taken together then.
 FREQUENT, BLOCK = 64, 8
+# Occurrences from which each string is a group of its own.
+CROWDED = 1 << 15
+# Items that are settled together.
+BATCH = 1 << 15
 RUNS_PER_PARTITION = 2
 LAST = (1 << 63) - 1
 
@@ -173,7 +184,7 @@ def _counter(length: int, ranges: int):
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """For each run, its keys that occur at least twice in all, and whether frequently."""
+    """For each run, its keys that occur at least twice in all; 1 for frequent, 2 for crowded."""
     runs = table.column("run").to_pylist()
     keys, counts = [], []
     for blob in table.column("blob"):
@@ -188,59 +199,91 @@ def _repeats(table: pa.Table) -> pa.Table:
         at += len(own)
         again = mine >= 2
         if again.any():
-            rows.append((number, _squeezed(own[again], (mine[again] >= FREQUENT).astype("u1"))))
+            often = (mine[again] >= FREQUENT).astype("u1") + (mine[again] >= CROWDED).astype("u1")
+            rows.append((number, _squeezed(own[again], often)))
     return _rows(_REPEATED, rows)
 
 
-def _covered(group: list[tuple], length: int) -> list[tuple[int, list[int]]]:
-    """For contexts in their order: (index, distances whose string is not the first of its kind).
+def _classes(same: np.ndarray, reach: int) -> np.ndarray:
+    """Numbers that items of one order share if all common prefixes between them reach so far."""
+    return np.cumsum(same < reach)
 
-    A context is (order, least, most, bytes): its strings start ``least`` to ``most`` bytes before
-    the suffix. Equal contexts are settled at once.
-    """
-    if len(group) == 1:
-        return []
-    indices = sorted(range(len(group)), key=lambda i: group[i][0])
-    whole: set[tuple] = set()
-    seen: set[bytes | tuple] = set()
-    found = []
-    single = all(group[i][1:] == group[0][1:] for i in indices)
-    for i in indices:
-        _, least, most, context = group[i]
-        key = (least, most, context)
-        if key in whole:
-            found.append((i, list(range(least, most + 1))))
-            continue
-        whole.add(key)
-        if single:
-            continue
-        covered = []
-        for back in range(least, most + 1):
-            string = (back, context[most - back : most - back + length])
-            if string in seen:
-                covered.append(back)
-            else:
-                seen.add(string)
-        if covered:
-            found.append((i, covered))
-    return found
 
+def _prefixes(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Common prefix of each row with the one before, -1 where another group begins."""
+    same = np.full(len(rows), -1, dtype=np.int64)
+    if len(rows) > 1 and rows.shape[1]:
+        equal = rows[1:] == rows[:-1]
+        same[1:] = np.where(equal.all(axis=1), rows.shape[1], equal.argmin(axis=1))
+    elif len(rows) > 1:
+        same[1:] = 0
+    same[1:][group[1:] != group[:-1]] = -1
+    return same
 
-def _spans(position: int, distances: list[int], length: int) -> Iterator[tuple[int, int]]:
-    """Byte ranges of strings that start ``distances`` (ascending) before ``position``."""
-    near = far = distances[0]
-    for d in distances[1:]:
-        if d != far + 1:
-            yield position - far, position - near + length
-            near = d
-        far = d
-    yield position - far, position - near + length
 
+def covered(
+    same: np.ndarray, rank: np.ndarray, least: np.ndarray, most: np.ndarray,
+    befores: list[bytes], length: int,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(item, distance) of each string that an item of lower rank has too.
 
-def _span_blob(spans: list[tuple[int, int]]) -> bytes:
-    pairs = np.array(spans, dtype="<i8").reshape(-1, 2)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    return _squeezed(np.diff(pairs[:, 0], prepend=0), pairs[:, 1] - pairs[:, 0])
+    Items come in suffix order; ``same`` is the common prefix of each with the one before, -1 where
+    a group begins. The strings of an item start ``least`` to ``most`` bytes before its suffix,
+    ``befores`` holds the ``most`` bytes there.
+    """
+    nothing = np.zeros(0, dtype=np.int64)
+    if len(same) < 2:
+        return nothing, nothing
+    # A string of an item reaches at least length - most bytes into its suffix.
+    near = np.maximum(same, np.r_[same[1:], -1])
+    kept = np.flatnonzero(near >= length - most)
+    if len(kept) < 2:
+        return nothing, nothing
+    # Over items left out, the least of the prefixes between.
+    same = np.minimum.reduceat(same[: kept[-1] + 1], np.r_[0, kept[:-1] + 1])
+    rank, least, most = rank[kept], least[kept], most[kept]
+    group = np.cumsum(same < 0)
+    width = max(1, int(most.max()))
+    back = b"".join(befores[i][::-1].ljust(width, b"\0") for i in kept.tolist())
+    backward = np.lexsort((np.frombuffer(back, dtype=f"S{width}"), group))
+    bytes_ = np.frombuffer(back, dtype=np.uint8).reshape(-1, width)
+    before = _prefixes(bytes_[backward], group[backward])
+    items, distances = [], []
+    behind = np.empty(len(kept), dtype=np.int64)
+    for d in range(int(least.min()), int(most.max()) + 1):
+        at = np.flatnonzero((least <= d) & (d <= most))
+        if len(at) < 2:
+            continue
+        behind[backward] = _classes(before, d)
+        kind = _classes(same, length - d)[at] * (len(kept) + 1) + behind[at]
+        order = np.lexsort((rank[at], kind))
+        again = order[1:][kind[order[1:]] == kind[order[:-1]]]
+        items.append(kept[at[again]])
+        distances.append(np.full(len(again), d))
+    if not items:
+        return nothing, nothing
+    return np.concatenate(items), np.concatenate(distances)
+
+
+def _batches(opens: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about BATCH items that cut no group."""
+    edges = np.flatnonzero(opens)
+    begin = 0
+    while begin < len(opens):
+        after = np.searchsorted(edges, begin + BATCH)
+        end = int(edges[after]) if after < len(edges) else len(opens)
+        yield begin, end
+        begin = end
+
+
+def _span_blob(starts: np.ndarray, length: int) -> bytes:
+    """The byte ranges that strings from these starts cover."""
+    starts = np.unique(starts)
+    first = np.flatnonzero(np.r_[True, np.diff(starts) != 1])
+    begin, last = starts[first], starts[np.r_[first[1:] - 1, len(starts) - 1]]
+    return _squeezed(
+        np.diff(begin, prepend=0).astype("<i8"), (last + length - begin).astype("<i8")
+    )
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -250,6 +293,25 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
     return size - (x.bit_length() + 7) // 8
 
 
+def _sorted_suffixes(
+    data: bytes, key: np.ndarray, position: np.ndarray, least: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, opens, same) of items sorted by key: their order by (key, suffix), where keys begin
+    in it, and the common prefix of each suffix with the one before (-1 where a key begins)."""
+    opens = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    edges = np.flatnonzero(opens).tolist()
+    order = np.arange(len(key))
+    same = np.full(len(key), -1, dtype=np.int64)
+    where, ends = position.tolist(), (position + length - least).tolist()
+    for a, b in zip(edges, [*edges[1:], len(where)]):
+        if b == a + 1:
+            continue
+        own = sorted((data[where[i] : ends[i]], i) for i in range(a, b))
+        order[a:b] = [i for _, i in own]
+        same[a + 1 : b] = [common_prefix(x, y, 0) for (x, _), (y, _) in zip(own, own[1:])]
+    return order, opens, same
+
+
 def _sender(length: int, ranges: int):
     """Sorts a run's suffixes, settles repeats inside it, and front-codes what others may share."""
 
@@ -267,48 +329,53 @@ def _sender(length: int, ranges: int):
         slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
         kept = known[slot] == key
         position, key, least, most = (x[kept] for x in (position, key, least, most))
-        block = np.where(often[slot[kept]] > 0, BLOCK, length + 1)
+        together = min(BLOCK, length)
+        block = np.array([length + 1, together, 1])[often[slot[kept]]]
         first, last = least // block, most // block
         times = last - first + 1
         position, key, least, most, block, first = (
             np.repeat(x, times) for x in (position, key, least, most, block, first)
         )
         place = first + np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)
-        key = np.where(
-            block == BLOCK, _mixed(key + (place + 1).astype(np.uint64) * _ODD), key
-        )
         shift = place * block
         position = position - shift
         least = np.maximum(least - shift, 0)
         most = np.minimum(most - shift, block - 1)
-        ids = texts.ids[np.searchsorted(texts.ends, position, side="right")]
-        by_key = np.argsort(key, kind="stable")
-        key, position, least, most, ids = (x[by_key] for x in (key, position, least, most, ids))
         data = texts.data.tobytes()
-        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist() if len(key) else []
-        where, near, far = position.tolist(), least.tolist(), most.tolist()
-        local: list[tuple[int, int]] = []
-        sent: list[int] = []
-        for a, b in zip(edges, [*edges[1:], len(where)]):
-            if b == a + 1:
-                sent.append(a)
-                continue
-            group = [
-                (where[i], near[i], far[i], data[where[i] - far[i] : where[i] + length - near[i]])
-                for i in range(a, b)
+        split = np.flatnonzero(block <= together)
+        if len(split):
+            # What all strings of the block share lies from the shifted position on.
+            ends = position[split] + length - block[split] + 1
+            shared = [
+                xxhash.xxh64_intdigest(data[a:b])
+                for a, b in zip(position[split].tolist(), ends.tolist())
             ]
-            gone = set()
-            for i, distances in _covered(group, length):
-                local.extend(_spans(where[a + i], distances, length))
-                if len(distances) == far[a + i] - near[a + i] + 1:
-                    gone.add(a + i)
-            own = [i for i in range(a, b) if i not in gone]
-            own.sort(key=lambda i: data[where[i] : where[i] + length - near[i]])
-            sent.extend(own)
+            key[split] = _mixed(
+                np.array(shared, dtype=np.uint64) + (place[split] + 1).astype(np.uint64) * _ODD
+            )
+        by_key = np.argsort(key, kind="stable")
+        key, position, least, most = (x[by_key] for x in (key, position, least, most))
+        order, opens, same = _sorted_suffixes(data, key, position, least, length)
+        key, position, least, most = (x[order] for x in (key, position, least, most))
+        where, near, far = position.tolist(), least.tolist(), most.tolist()
+        local: list[np.ndarray] = []
+        left = most - least + 1
+        for a, b in _batches(opens):
+            befores = [data[where[i] - far[i] : where[i]] for i in range(a, b)]
+            # In a run, documents lie in their order.
+            item, back = covered(
+                same[a:b], position[a:b] * (length + 1) + most[a:b],
+                least[a:b], most[a:b], befores, length,
+            )
+            local.append(position[a + item] - back)
+            np.subtract.at(left, a + item, 1)
+        index = np.flatnonzero(left > 0)
+        sent = index.tolist()
+        ids = texts.ids[np.minimum(np.searchsorted(texts.ends, position, side="right"), len(texts.ids) - 1)]
         rows = []
-        if local:
-            rows.append((number % ranges, number, True, _span_blob(local)))
-        index = np.array(sent, dtype=np.int64)
+        if any(map(len, local)):
+            blob = _span_blob(np.concatenate(local), length)
+            rows.append((number % ranges, number, True, blob))
         slices = _range_of(key[index], ranges)
         cuts = np.searchsorted(slices, np.arange(ranges + 1)).tolist()
         for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -379,10 +446,9 @@ class Slice:
         return head + self.suffix, known
 
     def item(self) -> tuple:
-        """((id, run, position), least, most, context) of the current suffix."""
+        """(id, run, position, least, most, bytes before) of the current suffix."""
         i = self.at
-        order = (self.ids[i], self.run, self.positions[i])
-        return order, self.least[i], self.most[i], self.before + self.suffix
+        return self.ids[i], self.run, self.positions[i], self.least[i], self.most[i], self.before
 
 
 def merged(slices: list[Slice]) -> Iterator[tuple[int, tuple]]:
@@ -443,21 +509,35 @@ def _merger(length: int):
                 rows.append((number, blob))
             else:
                 slices.append((number, blob))
-        spans: dict[int, list[tuple[int, int]]] = {}
-        group: list[tuple] = []
+        starts: dict[int, list[np.ndarray]] = {}
+        items: list[tuple] = []
+        prefixes: list[int] = []
 
         def settle() -> None:
-            for i, distances in _covered(group, length):
-                _, number, position = group[i][0]
-                spans.setdefault(number, []).extend(_spans(position, distances, length))
+            ids, runs, positions, least, most = (
+                np.array(x, dtype=np.int64) for x in list(zip(*items))[:5]
+            )
+            rank = np.empty(len(items), dtype=np.int64)
+            rank[np.lexsort((most, positions, runs, ids))] = np.arange(len(items))
+            item, back = covered(
+                np.array(prefixes, dtype=np.int64), rank, least, most, [i[5] for i in items], length
+            )
+            found, number = positions[item] - back, runs[item]
+            for n in np.unique(number).tolist():
+                starts.setdefault(n, []).append(found[number == n])
 
-        for same, item in merged([Slice(n, b, length) for n, b in sorted(slices)]):
-            if same < 8 and group:
+        for known, item in merged([Slice(n, b, length) for n, b in sorted(slices)]):
+            if known < 8 and len(items) >= BATCH:
                 settle()
-                group = []
-            group.append(item)
-        settle() if group else None
-        rows.extend((number, _span_blob(found)) for number, found in spans.items())
+                items, prefixes = [], []
+            # The first symbol's 8 bytes are the key.
+            prefixes.append(known - 8 if known >= 8 and items else -1)
+            items.append(item)
+        if items:
+            settle()
+        rows.extend(
+            (number, _span_blob(np.concatenate(found), length)) for number, found in starts.items()
+        )
         return _rows(_REPEATED, rows)
 
     return run

@@ -339,6 +339,55 @@ def test_repeats_around_a_frequent_passage(spark, monkeypatch):
     assert removed(suffixes.repeats_removed(table, length=50)) == wanted
 
 
+@pytest.mark.parametrize("crowded", [4, 1 << 15])
+def test_repeats_around_a_crowded_line(spark, monkeypatch, crowded):
+    """A line shorter or little longer than the length, amid texts that differ and some copies."""
+    monkeypatch.setattr(suffixes, "FREQUENT", 3)
+    monkeypatch.setattr(suffixes, "CROWDED", crowded)
+    monkeypatch.setattr(suffixes, "BATCH", 7)
+    line = "0123456789 abcdefghij klmnopqrst uvwxyz"
+    for size in (len(line), 52):
+        common = (line + " and more of the same")[:size]
+        rows = [(i, f"{i * i:09x}{i % 3} {common}{i % 2} {i * 7919:09x}" * (1 + i % 2)) for i in range(90)]
+        wanted = brute.repeats([(i, t.encode()) for i, t in rows], 50)
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        assert removed(suffixes.repeats_removed(table, length=50)) == wanted
+
+
+def test_no_group_holds_the_texts_around_a_common_line(monkeypatch):
+    """Of 4,000 documents with one line of 60 bytes, a run sends no two that would meet."""
+    import pyarrow as pa
+
+    line = "all of these documents hold this very line of sixty bytes..."
+    table = pa.table({
+        "run": pa.array([0] * 4000, pa.int32()), "doc_id": pa.array(range(4000), pa.int64()),
+        "text": [f"{i * 7919:020d}{i:020d} {line} {i * 104729:020d}{i:020d}" for i in range(4000)],
+        "rest": [None] * 4000,
+    })
+    counted = suffixes._counter(100, 4)(table)
+    repeated = pa.concat_tables(
+        [suffixes._repeats(counted.filter(pa.compute.equal(counted["range"], r))) for r in range(4)]
+    )
+    sent = suffixes._sender(100, 4)(table, repeated)
+    keys = []
+    for blob in sent.filter(pa.compute.invert(sent["local"]))["blob"]:
+        deltas = suffixes._unsqueezed(blob.as_py())[0]
+        keys += np.cumsum(np.frombuffer(deltas, dtype="<u8"), dtype=np.uint64).tolist()
+    assert len(keys) >= 4000 and max(Counter(keys).values()) <= suffixes.FREQUENT
+
+
+def test_the_merged_order_settles_what_repeats():
+    """Equal strings follow from the prefixes between neighbours and nothing else."""
+    same = np.array([-1, 6, 6])
+    args = (np.arange(3), np.zeros(3, dtype=np.int64), np.full(3, 4), [b"abcd", b"xbcd", b"abcd"], 10)
+    item, back = suffixes.covered(same, *args)
+    assert sorted(zip(item.tolist(), back.tolist())) == [(2, 4)]
+    item, back = suffixes.covered(np.array([-1, 7, 8]), *args)
+    assert sorted(zip(item.tolist(), back.tolist())) == [(1, 3), (2, 2), (2, 3), (2, 4)]
+    item, back = suffixes.covered(np.array([-1, 5, -1]), *args)
+    assert len(item) == 0
+
+
 def test_repeats_of_awkward_rows(awkward, nothing):
     rows = suffixes.repeats_removed(awkward).collect()
     assert len(rows) == awkward.count()
