@@ -2,8 +2,9 @@
 
 The trees are fitted on a bounded sample (SAMPLE vectors); every row of the table is then indexed
 in every tree. A query walks all trees through one priority queue, widest margin first, until its
-leaves hold SEARCH_SHARE of the rows; queries and rows of a leaf meet in a shuffle, and candidates
-are ranked by their exact inner products. Vectors are lifted to equal length by one more component,
+leaves hold the share of the rows at which searches of the sample itself reach RECALL of their
+neighbours; queries and rows of a leaf meet in a shuffle, and candidates are ranked by their exact
+inner products. Vectors are lifted to equal length by one more component,
 so that the largest inner product is the nearest. Equal vectors are indexed once, with the few ids
 that can appear in a result, and equal queries are searched once, so copies never crowd a leaf.
 """
@@ -21,10 +22,9 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import cut
 
-SAMPLE, LEAF, TREES = 20_000, 800, 12
-# Rows counted once per tree. Vectors without structure need 1.5 (measured recall 0.97 and more);
-# well clustered ones a few tenths.
-SEARCH_SHARE = 1.5
+SAMPLE, LEAF, TREES = 20_000, 800, 4
+# Of the neighbours in the sample, over the searches of its first MEASURED vectors.
+RECALL, MEASURED = 0.96, 400
 NEIGHBOURS, EVERY = 20, 20
 # Rows and queries that meet in one task.
 ROWS_TOGETHER, QUERIES_TOGETHER = 20_000, 20_000
@@ -110,6 +110,33 @@ def probes(forest: list[Tree], point: np.ndarray, share: float) -> list[tuple[in
     return found
 
 
+def measured_share(
+    forest: list[Tree], points: np.ndarray, rows: int, most: int, recall: float = RECALL
+) -> float:
+    """The share of rows, counted once per tree, at which ``recall`` of the nearest neighbours of the
+    sample's first points have been reached. As many neighbours in the sample count as the ``most``
+    nearest of all ``rows`` have there, one at least."""
+    if len(points) < 2:
+        return 1.0
+    vectors = points[:, :-1]
+    asked = vectors[:MEASURED]
+    scores = asked @ vectors.T
+    np.fill_diagonal(scores, -np.inf)
+    near = min(max(1, -(-most * len(points) // max(rows, 1))), len(points) - 1)
+    placed = np.array([leaves(t, points) for t in forest])
+    reached = []
+    for point, row in zip(asked, scores):
+        before, seen = {}, 0.0
+        for n, leaf in probes(forest, np.append(point, 0.0), np.inf):
+            before[n, leaf] = seen
+            seen += forest[n].shares[leaf]
+        for i in np.argsort(-row, kind="stable")[:near]:
+            reached.append(min(before[n, int(leaf)] for n, leaf in enumerate(placed[:, i])))
+    enough = float(np.quantile(reached, recall, method="higher"))
+    # Leaves that begin at this share are still to be searched.
+    return max(enough + 1e-9, max(float(t.shares.max()) for t in forest))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -226,7 +253,8 @@ def nearest(
     embedding: str = "embedding",
     neighbours: int = NEIGHBOURS,
     every: int = EVERY,
-    share: float = SEARCH_SHARE,
+    share: float | None = None,
+    recall: float = RECALL,
     trees: int = TREES,
     leaf: int = LEAF,
     sample: int = SAMPLE,
@@ -234,6 +262,9 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row whose id ``every`` divides.
 
+    A search ends when its leaves hold ``share`` of the rows, counted once per tree; where it is not
+    given it is measured, as the share that reaches ``recall`` within the sample.
+
     Scores are inner products in double precision; equal ones are ranked by id, and a query's own
     id is no result of it. Defined cases: rows without an id, with a null or zero vector, with a
     null or non-finite component, or of another length than most take no part; of repeated ids
@@ -260,6 +291,8 @@ def nearest(
     points = _lifted(_matrix(seen.column("v")), longest) if seen.num_rows else np.zeros((0, 1))
     chance = np.random.default_rng(seed)
     forest = [fitted(points, leaf, chance) for _ in range(trees)]
+    if share is None:
+        share = measured_share(forest, points, n, neighbours, recall)
     parts = _chunks(forest, n, max(1, n // every), share)
     kind = usable.schema["v"].dataType.simpleString()
     places = f"id long, v {kind}, tree int, leaf int, r int, q int"

@@ -91,3 +91,49 @@ def test_trees_index_every_point():
     every = neighbours.probes([tree], points[0], 2.0)
     assert len(set(every)) == len(tree.shares)
     assert every[0] == (0, found[0])
+
+
+def _searched(points, forest, share, queries, most=20):
+    """(recall, part of the rows looked at) of searches by a share, against plain scans."""
+    placed = [neighbours.leaves(t, points) for t in forest]
+    hits, looked = 0, 0
+    for q in queries:
+        scores = points[:, :-1] @ points[q, :-1]
+        scores[q] = -np.inf
+        wanted = set(np.argsort(-scores)[:most].tolist())
+        seen = set()
+        for n, leaf in neighbours.probes(forest, np.append(points[q, :-1], 0.0), share):
+            seen.update(np.flatnonzero(placed[n] == leaf).tolist())
+        hits += len(wanted & seen)
+        looked += len(seen)
+    return hits / (most * len(queries)), looked / (len(queries) * len(points))
+
+
+def _unit(rows):
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("rows", [2_000, 16_000])
+def test_share_is_measured_by_recall_and_small_for_clustered_vectors(rows):
+    chance = np.random.default_rng(rows)
+    centres = _unit(chance.normal(size=(rows // 50, 32)))
+    clustered = _unit(centres[chance.integers(0, len(centres), rows)] + 0.03 * chance.normal(size=(rows, 32)))
+    loose = _unit(chance.normal(size=(rows, 32)))
+    shares = []
+    for vectors in (clustered, loose):
+        points = neighbours._lifted(vectors, 1.0)
+        sample = points[:2_000]
+        forest = [neighbours.fitted(sample, 100, np.random.default_rng(n)) for n in range(4)]
+        shares.append(neighbours.measured_share(forest, sample, rows, 20))
+        recall, looked = _searched(points, forest, shares[-1], range(rows - 200, rows))
+        assert recall >= 0.9
+    # Without structure the whole table is nearly read, and the share says so.
+    assert shares[0] < 0.5 < shares[1] and looked > 0.3
+
+
+def test_share_of_tiny_samples():
+    one = np.ones((1, 3))
+    assert neighbours.measured_share([], np.zeros((0, 1)), 0, 20) == 1.0
+    assert neighbours.measured_share([neighbours.fitted(one, 5, np.random.default_rng(1))], one, 1, 20) == 1.0
+    same = np.ones((30, 3))
+    assert neighbours.measured_share([neighbours.fitted(same, 5, np.random.default_rng(1))], same, 30, 20) == 1.0
