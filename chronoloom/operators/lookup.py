@@ -15,6 +15,14 @@ from chronoloom.operators.sizes import hot_groups, hot_row_limit
 BROADCAST_ROWS = 200_000
 
 
+def sorted_if_large(right: DataFrame, rows: int) -> DataFrame:
+    """``right`` as a join should take it: sent to every executor up to BROADCAST_ROWS rows, else
+    shuffled and sorted. Left to itself Spark goes by the bytes of the files below, which say little
+    about rows that were exploded or gathered on the way, and would send a large table through the
+    driver."""
+    return F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge")
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -28,8 +36,8 @@ def lookup_join(
     """``left`` with the columns of its ``right`` row; ``on`` maps left to right key columns.
 
     A right side of at most BROADCAST_ROWS rows (counted unless ``right_rows`` gives a bound) is
-    broadcast, and the left rows stay where they are. Otherwise both are shuffled by key; left
-    keys with more rows than ``spark.chronoloom.hotRows`` are first found and spread over salts,
+    broadcast, and the left rows stay where they are. Otherwise both are shuffled by key and sorted,
+    whatever size Spark estimates; left keys with more rows than ``spark.chronoloom.hotRows`` are first found and spread over salts,
     with their right rows repeated per salt. ``sizes_from`` is a cheaper table to count them in,
     with at least as many rows per key.
     """
@@ -40,11 +48,11 @@ def lookup_join(
         pair = F.col(a).eqNullSafe(F.col(b)) if null_safe else F.col(a) == F.col(b)
         condition = condition & pair
     if right_rows <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), condition, "left")
+        return left.join(sorted_if_large(right, right_rows), condition, "left")
     keys = list(on)
     hot = hot_groups(left if sizes_from is None else sizes_from, keys)
     if not hot:
-        return left.join(right, condition, "left")
+        return left.join(sorted_if_large(right, right_rows), condition, "left")
     limit = hot_row_limit(left.sparkSession)
     spread = F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int")
     salted = _with_salts(left, hot, {k: k for k in keys}, limit).withColumn("_salt", spread)
@@ -52,7 +60,9 @@ def lookup_join(
         "_right_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))
     )
     return salted.drop("_salts").join(
-        repeated.drop("_salts"), condition & (F.col("_salt") == F.col("_right_salt")), "left"
+        sorted_if_large(repeated.drop("_salts"), right_rows),
+        condition & (F.col("_salt") == F.col("_right_salt")),
+        "left",
     ).drop("_salt", "_right_salt")
 
 

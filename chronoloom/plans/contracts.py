@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import day_diff, flag, inclusive_days, month_end, month_start
 from chronoloom.operators.compose import band_label, merge_metrics, resolve_price
 from chronoloom.operators.dedup import keep_latest
-from chronoloom.operators.lookup import lookup_join
+from chronoloom.operators.lookup import lookup_join, sorted_if_large
 from chronoloom.operators.periods import monthly_rollup
 from chronoloom.operators.sequence import with_prev
 from chronoloom.operators.timeline import Timeline
@@ -205,13 +205,18 @@ def price_anomaly(
     return report(found, ["order_date", "product_id"], ordered)
 
 
+def _with_sale(claims: DataFrame, sales: DataFrame, *columns: str) -> DataFrame:
+    sold = sorted_if_large(sales.select("sale_id", *columns), sales.count())
+    return claims.join(sold, "sale_id", "left")
+
+
 def resolved_claims(
     sales: DataFrame, warranties: DataFrame, claims: DataFrame, *,
     claim_order: Iterable[str] = (), version_tie: Iterable[str] = (),
 ) -> DataFrame:
     """Each claim once, with its sale and the coverage valid on the claim date."""
     clean = keep_latest(claims, ["claim_id"], ["-claim_date", *claim_order])
-    of_sale = clean.join(sales.select("sale_id", "customer_id", "product_id"), "sale_id", "left")
+    of_sale = _with_sale(clean, sales, "customer_id", "product_id")
     return interval_match_best(
         of_sale,
         warranties,
@@ -233,9 +238,7 @@ def warranty_claims(
     keeps each claim exactly once; see ``resolved_claims``.
     """
     clean = keep_latest(claims, ["claim_id"], ["-claim_date", *claim_order])
-    of_sale = clean.join(
-        sales.select("sale_id", "customer_id"), "sale_id", "left"
-    ).withColumn("mes", month_start("claim_date"))
+    of_sale = _with_sale(clean, sales, "customer_id").withColumn("mes", month_start("claim_date"))
     keys = ["customer_id", "mes"]
     merged = merge_metrics(
         [

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.operators.lookup import sorted_if_large
 
 # Stated, not inferred: reading a folder then needs no job to look at its files.
 SCHEMAS = {
@@ -53,9 +54,14 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    def _joinable(self, name: str) -> DataFrame:
+        """A table that lines are joined with; its rows are counted in the files' footers."""
+        table = self.table(name)
+        return sorted_if_large(table, table.count())
+
     def _order_lines_joined(self) -> DataFrame:
         return self.table("lineitem").join(
-            self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"),
+            self._joinable("orders").select("o_orderkey", "o_custkey", "o_orderdate"),
             F.col("l_orderkey") == F.col("o_orderkey"),
         )
 
@@ -269,7 +275,7 @@ class Inputs:
         )
         return (
             self._order_lines_joined()
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(self._joinable("part"), F.col("l_partkey") == F.col("p_partkey"))
             .select(
                 F.col("l_orderkey").alias("order_id"),
                 F.col("l_partkey").alias("product_id"),
@@ -320,7 +326,7 @@ class Inputs:
     def brand_lines(self) -> DataFrame:
         return (
             self._order_lines_joined()
-            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(self._joinable("part"), F.col("l_partkey") == F.col("p_partkey"))
             .select(
                 (F.col("o_custkey") % 50).alias("id_cliente"),
                 F.col("p_brand").alias("marca"),

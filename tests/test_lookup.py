@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom import registry
 from chronoloom.operators import lookup
 from chronoloom.operators.lookup import lookup_join
 from chronoloom.operators.sizes import HOT_ROWS_CONF, hot_groups
@@ -63,3 +66,27 @@ def test_sizes_may_come_from_another_table(spark, monkeypatch, tables):
         assert found.count() == 100
     finally:
         spark.conf.unset(HOT_ROWS_CONF)
+
+
+@pytest.mark.parametrize("hot", [1000, 50])
+def test_a_large_right_side_is_never_broadcast(spark, monkeypatch, tables, capsys, hot):
+    left, right = tables
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 3)
+    spark.conf.set(HOT_ROWS_CONF, str(hot))
+    try:
+        # Few bytes by Spark's estimate, so that it would broadcast them by itself.
+        lookup_join(left, right, {"k": "rk"}).explain()
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
+    assert "SortMergeJoin" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize(
+    "name", ["contract_billing", "price_anomaly", "resolved_claims", "effective_price"]
+)
+def test_large_version_tables_are_not_broadcast(spark, small, monkeypatch, capsys, name):
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 10)
+    registry.queries()[name](spark, small).explain()
+    text = capsys.readouterr().out
+    for join in re.findall(r"BroadcastHashJoin (.*)", text):
+        assert not re.search("_span_key|_product|sale_id|partkey|orderkey", join), join
