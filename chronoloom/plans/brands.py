@@ -13,6 +13,7 @@ from chronoloom.functions import day_diff, flag, month_end, ratio
 from chronoloom.operators.checks import agree, compare_totals, materialise, violations
 from chronoloom.operators.compose import share_and_rank
 from chronoloom.operators.rolling import trailing_mean, trailing_sum
+from chronoloom.operators.sizes import dealt
 from chronoloom.operators.timeline import Timeline
 
 _MONTH = ["id_cliente", "ano", "mes"]
@@ -26,16 +27,23 @@ def _dated(lines: DataFrame) -> DataFrame:
 
 
 def brand_metrics(
-    lines: DataFrame, *, rows: int = 3, repurchases: int = 3, spike: float = 1.5
+    lines: DataFrame, *, rows: int = 3, repurchases: int = 3, spike: float = 1.5,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Spend, frequency, ticket and recency per customer, brand and month; trailing mean, share
     of the customer's month, repurchase and spike flags, and rank.
 
     "Months" of the trailing figures are rows: months without a purchase do not count. After the
     rollup a customer and brand has one row per month, a customer's month one row per brand.
+
+    Counting sales takes a row per sale in memory. ``sizes_from`` is a cheaper table with as many
+    rows as there are lines: by their number the lines are dealt into tasks of bounded size.
     """
+    dated = _dated(lines)
+    if sizes_from is not None:
+        dated = dealt(dated, sizes_from.count(), *_CELL, "id_venda")
     monthly = (
-        _dated(lines)
+        dated
         .groupBy(*_CELL)
         .agg(
             F.sum("valor_item").alias("total_mes_marca"),

@@ -109,10 +109,15 @@ def _line_keys(i: Inputs, name: str) -> DataFrame:
     return i.table("lineitem").select(F.col("l_partkey").alias(name))
 
 
-def _brand_metrics(i: Inputs) -> DataFrame:
-    """Computed once for all queries of a scope that ask for it."""
+def _brand_metrics(i: Inputs, sales: bool = True) -> DataFrame:
+    """Computed once for all queries of a scope that ask for it; ``sales`` tells whether the number
+    of sales is read, for which lines are dealt by their number."""
     return shared_stage(
-        i.spark, ("brand_metrics", i.folder), lambda: brands.brand_metrics(i.brand_lines())
+        i.spark,
+        ("brand_metrics", i.folder),
+        lambda: brands.brand_metrics(
+            i.brand_lines(), sizes_from=i.table("lineitem") if sales else None
+        ),
     )
 
 
@@ -266,7 +271,7 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     # brands
     "brand_metrics": lambda i: _finish(_brand_metrics(i), **_BRAND_ROUND),
     "brand_checks_total": lambda i: _finish(
-        brands.brand_checks_total(_brand_metrics(i), i.brand_lines())
+        brands.brand_checks_total(_brand_metrics(i, sales=False), i.brand_lines())
     ),
     "brand_checks_ticket": lambda i: _finish(
         brands.brand_checks_ticket(_brand_metrics(i)), ticket_med_marca=6, ticket_calc=6

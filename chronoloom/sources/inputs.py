@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators.lookup import sorted_if_large
+from chronoloom.operators.lookup import BROADCAST_ROWS, sorted_if_large
+from chronoloom.operators.sizes import dealt
 
 # Stated, not inferred: reading a folder then needs no job to look at its files.
 SCHEMAS = {
@@ -54,17 +55,26 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def _joinable(self, name: str) -> DataFrame:
-        """A table that lines are joined with; its rows are counted in the files' footers."""
-        table = self.table(name)
-        return sorted_if_large(table, table.count())
+    def _lines_with(
+        self, lines: DataFrame, key: str, name: str, its_key: str, *columns: str
+    ) -> DataFrame:
+        """Lines joined with the rows of another table; rows are counted in the files' footers."""
+        table = self.table(name).select(its_key, *columns)
+        few, many = table.count(), self.table("lineitem").count()
+        if few > BROADCAST_ROWS:
+            lines, table = dealt(lines, many, key), dealt(table, many, its_key)
+        return lines.join(sorted_if_large(table, few), F.col(key) == F.col(its_key))
 
     def _order_lines_joined(self) -> DataFrame:
-        return self.table("lineitem").join(
-            self._joinable("orders").select("o_orderkey", "o_custkey", "o_orderdate"),
-            F.col("l_orderkey") == F.col("o_orderkey"),
+        lines = self.table("lineitem")
+        return self._lines_with(
+            lines, "l_orderkey", "orders", "o_orderkey", "o_custkey", "o_orderdate"
         )
 
+    def _order_lines_of_parts(self, *columns: str) -> DataFrame:
+        lines = self._order_lines_joined()
+        return self._lines_with(lines, "l_partkey", "part", "p_partkey", *columns)
+
     # -- events of customers ---------------------------------------------------------------
 
     def customer_events(self) -> DataFrame:
@@ -274,8 +284,7 @@ class Inputs:
             .otherwise(listed)
         )
         return (
-            self._order_lines_joined()
-            .join(self._joinable("part"), F.col("l_partkey") == F.col("p_partkey"))
+            self._order_lines_of_parts("p_retailprice")
             .select(
                 F.col("l_orderkey").alias("order_id"),
                 F.col("l_partkey").alias("product_id"),
@@ -325,8 +334,7 @@ class Inputs:
 
     def brand_lines(self) -> DataFrame:
         return (
-            self._order_lines_joined()
-            .join(self._joinable("part"), F.col("l_partkey") == F.col("p_partkey"))
+            self._order_lines_of_parts("p_brand")
             .select(
                 (F.col("o_custkey") % 50).alias("id_cliente"),
                 F.col("p_brand").alias("marca"),

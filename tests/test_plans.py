@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoloom import registry
 from chronoloom.operators import lookup
-from chronoloom.operators.sizes import HOT_ROWS_CONF
+from chronoloom.operators.sizes import HOT_ROWS_CONF, TASK_ROWS_CONF
 from chronoloom.operators.timeline import SLICE, Timeline
 from chronoloom.plans import churn, contracts, customers, delivery, instability, orders, usage
 
@@ -173,3 +173,23 @@ def test_every_report_can_be_ordered(spark, small, capsys, monkeypatch):
     assert "rangepartitioning(customer_id" in plan(capsys, found)
     keys = [(r.customer_id, r.month_start) for r in found.collect()]
     assert keys == sorted(keys)
+
+
+@pytest.mark.parametrize("name", ["brand_metrics", "brand_checks_ticket", "brand_checks_flags"])
+def test_brand_tasks_do_not_grow_with_the_lines(spark, small, monkeypatch, capsys, name):
+    before = sorted(map(repr, QUERIES[name](spark, small).collect()))
+    monkeypatch.setattr("chronoloom.operators.lookup.BROADCAST_ROWS", 10)
+    monkeypatch.setattr("chronoloom.sources.inputs.BROADCAST_ROWS", 10)
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    spark.conf.set(TASK_ROWS_CONF, str(lines // 9))
+    try:
+        found = QUERIES[name](spark, small)
+        text = plan(capsys, found)
+        assert sorted(map(repr, found.collect())) == before
+    finally:
+        spark.conf.unset(TASK_ROWS_CONF)
+    # Orders, parts and sales: no task of these stages gets more than its share of the lines.
+    wanted = -(-lines // (lines // 9))
+    for keys in ("l_orderkey", "l_partkey", "id_cliente#.*marca#.*ano#.*mes#.*id_venda"):
+        dealt = re.findall(rf"hashpartitioning\({keys}#?[^)]*, (\d+)\)", text)
+        assert dealt and set(map(int, dealt)) == {wanted}, (keys, dealt)
