@@ -67,6 +67,7 @@ def interval_match_best(
     fact_id: Iterable[str] = (),
     fact_order: Iterable[str] = (),
     sizes_from: DataFrame | None = None,
+    times_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left-join each fact to its best covering version; facts without one keep NULLs.
 
@@ -77,7 +78,7 @@ def interval_match_best(
     """
     return interval_match_all(
         facts, [Versions(versions, tuple(prefer), take, start, end)], key=key, at=at,
-        fact_id=fact_id, fact_order=fact_order, sizes_from=sizes_from,
+        fact_id=fact_id, fact_order=fact_order, sizes_from=sizes_from, times_from=times_from,
     )
 
 
@@ -90,6 +91,7 @@ def interval_match_all(
     fact_id: Iterable[str] = (),
     fact_order: Iterable[str] = (),
     sizes_from: DataFrame | None = None,
+    times_from: DataFrame | None = None,
 ) -> DataFrame:
     """Each fact with the best covering version of every table in ``versions``, by one join.
 
@@ -99,21 +101,24 @@ def interval_match_all(
     row per fact, there are no pairs to produce and reduce again, and the facts of a busy key
     spread over its blocks. Few rows in all are broadcast; else see ``lookup_join`` for keys with
     very many facts and for ``sizes_from``, a cheaper table that holds the facts' keys (their
-    times are taken from it too where it has them).
+    times are taken from it too where it has them). ``times_from`` is a cheaper table that holds all
+    their times, for the first and last of them only.
 
     With ``fact_id`` one row per id stays: the one whose version of the first table is preferred.
     """
     inputs = list(facts.columns)
     where = _place(facts, at)
-    timed = sizes_from if sizes_from is not None and at in sizes_from.columns else facts
+    timed = facts if times_from is None else times_from
+    if times_from is None and sizes_from is not None and at in sizes_from.columns:
+        timed = sizes_from
     blocks = _blocks(timed, at)
     tables = [v.checked().spans(key, blocks) for v in versions]
     rows = sum(_pieces(t) for t in tables)
-    placed = facts.withColumn("_at", where).withColumn("_block", F.shiftright("_at", BLOCK_BITS))
+    # The place is worked out on both sides of the join, so that no shuffle carries it.
     matched = lookup_join(
-        placed, _together([segments(t) for t in tables]), {key: "_span_key"}, right_rows=rows,
-        also=F.col("_block") == F.col("_span_block"), sizes_from=sizes_from,
-    ).withColumns({
+        facts, _together([segments(t) for t in tables]), {key: "_span_key"}, right_rows=rows,
+        also=F.shiftright(where, BLOCK_BITS) == F.col("_span_block"), sizes_from=sizes_from,
+    ).withColumn("_at", where).withColumns({
         f"_best{n}": F.get(f"_best{n}", _held(F.col(f"_from{n}"), F.col("_at")) - 1)
         for n in range(len(tables))
     })

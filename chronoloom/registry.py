@@ -104,9 +104,14 @@ def _drivers(i: Inputs) -> DataFrame:
     )
 
 
-def _line_keys(i: Inputs, name: str) -> DataFrame:
-    """The part of every line: lookups by part count their busy keys in this one column."""
-    return i.table("lineitem").select(F.col("l_partkey").alias(name))
+def _line_keys(i: Inputs, name: str, at: str) -> DataFrame:
+    """The part and the time of every line: lookups by part count their busy keys in them and take
+    the first and last time, without a join."""
+    return _renamed(i.table("lineitem"), **{name: "l_partkey", at: "l_shipdate"})
+
+
+def _line_times(i: Inputs, at: str) -> DataFrame:
+    return _renamed(i.table("lineitem"), **{at: "l_shipdate"})
 
 
 def _brand_metrics(i: Inputs, sales: bool = True) -> DataFrame:
@@ -157,7 +162,8 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "resolved_logs": lambda i: _finish(
         contracts.resolved_logs(
-            i.subscriptions(), i.usage_logs(), log_order=_LOG_ORDER
+            i.subscriptions(), i.usage_logs(), log_order=_LOG_ORDER,
+            times_from=_line_times(i, "log_date"),
         ).drop(*_LOG_ORDER)
     ),
     "subscription_activity": lambda i: _finish(
@@ -170,13 +176,13 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
         contracts.contract_billing(
             _contracts(i), _bills(i), version_tie=["customer_id", "base_price"],
             bill_order=["-bill_date", "product_id", "l_suppkey", "l_extendedprice"],
-            sizes_from=_line_keys(i, "contract_id"),
+            sizes_from=_line_keys(i, "contract_id", "bill_date"),
         )
     ),
     "price_anomaly": lambda i: _finish(
         contracts.price_anomaly(
             i.order_lines(), i.versions(), line_order=_LINE_ORDER, version_tie=["price"],
-            sizes_from=_line_keys(i, "product_id"),
+            sizes_from=_line_keys(i, "product_id", "order_date"),
         )
     ),
     "resolved_claims": lambda i: _finish(
@@ -190,7 +196,7 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
     "license_usage": lambda i: _finish(
         contracts.license_usage(
             _licenses(i), _license_events(i), i.customers(), usage_order=_LOG_ORDER,
-            version_tie=["license_id"],
+            version_tie=["license_id"], times_from=_line_times(i, "event_date"),
         )
     ),
     "effective_price": lambda i: _finish(
@@ -198,7 +204,7 @@ _JOBS: dict[str, Callable[[Inputs], DataFrame]] = {
             _priced_sales(i), i.versions(), i.campaigns(),
             sale_order=["-sale_date", "product_id", "l_suppkey", "l_extendedprice"],
             version_tie=["price"],
-            sizes_from=_line_keys(i, "product_id"),
+            sizes_from=_line_keys(i, "product_id", "sale_date"),
         )
     ),
     # customers

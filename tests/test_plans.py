@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom import registry
-from chronoloom.operators import lookup
+from chronoloom.operators import lookup, validity
 from chronoloom.operators.sizes import HOT_ROWS_CONF, TASK_ROWS_CONF
 from chronoloom.operators.timeline import SLICE, Timeline
 from chronoloom.plans import churn, contracts, customers, delivery, instability, orders, usage
@@ -193,3 +193,20 @@ def test_brand_tasks_do_not_grow_with_the_lines(spark, small, monkeypatch, capsy
     for keys in ("l_orderkey", "l_partkey", "id_cliente#.*marca#.*ano#.*mes#.*id_venda"):
         dealt = re.findall(rf"hashpartitioning\({keys}#?[^)]*, (\d+)\)", text)
         assert dealt and set(map(int, dealt)) == {wanted}, (keys, dealt)
+
+
+@pytest.mark.parametrize("name", ["license_usage", "resolved_logs", "contract_billing"])
+def test_the_ends_of_time_are_read_without_a_join(spark, small, monkeypatch, capsys, name):
+    seen = []
+    blocks = validity._blocks
+
+    def noted(facts, at):
+        seen.append(plan(capsys, facts.select(at)))
+        return blocks(facts, at)
+
+    monkeypatch.setattr(validity, "_blocks", noted)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 10)
+    text = plan(capsys, QUERIES[name](spark, small))
+    assert seen and all("Exchange" not in t and "Join" not in t for t in seen)
+    # No shuffle carries the block of a fact: it is worked out from the time.
+    assert "_block#" not in text.replace("_span_block#", "")
