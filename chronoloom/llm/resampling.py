@@ -49,7 +49,8 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
     """(rows, bucket of each feature, words of each row): the row and bucket of every word and
     every pair of neighbouring words of a column of texts, in order of rows; null texts have none.
     """
-    lowered = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    # Not cast before: a cast slice keeps its offsets, which Arrow's ascii_lower takes to begin at 0.
+    lowered = pc.ascii_lower(pc.fill_null(texts, ""))
     lists = pc.split_pattern_regex(lowered, SEPARATORS)
     flat, row = pc.list_flatten(lists), pc.list_parent_indices(lists)
     some = pc.greater(pc.binary_length(flat), 0)

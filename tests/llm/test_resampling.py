@@ -90,3 +90,23 @@ def test_blocks_do_not_change_features(monkeypatch, block):
         at += len(part)
     assert at == len(texts)
     assert seen == [(n, sorted(f)) for n, f in (buckets_of(t, 10_000) for t in texts)]
+
+
+@pytest.mark.parametrize("start", [0, 1, 8, 16])
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_later_slices_of_a_column_without_nulls(start, kind):
+    texts = [f"One{i} two, ÜN{i} {'word ' * i}" for i in range(24)]
+    column = pa.array(texts, kind).slice(start)
+    rows, bucket, n_words = resampling.features(column)
+    found = [(n_words[i], sorted(bucket[rows == i].tolist())) for i in range(len(column))]
+    assert found == [(n, sorted(f)) for n, f in (buckets_of(t, 10_000) for t in texts[start:])]
+
+
+def test_batches_of_more_bytes_than_a_block(spark):
+    texts = [f"Doc{i} " + " ".join(f"w{(i * j) % 997}" for j in range(40)) for i in range(30)]
+    texts += [f"Long{i} " + f"some{i} Words " * 300_000 for i in range(3)]
+    docs = list(enumerate(texts))
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    target = ["some1 Words w1 w2", "doc3"]
+    found = resampling.resampled(table, spark.createDataFrame([(t,) for t in target], "text string"))
+    assert ordered(found.collect()) == ordered(plain(docs, target))
