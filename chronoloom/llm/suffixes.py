@@ -78,16 +78,16 @@ class Texts:
     """The documents of one run in order of (id, text), as one array of bytes."""
 
     def __init__(self, table: pa.Table):
-        ids = table.column("doc_id")
-        order = pa.table(
-            {"i": ids.cast(pa.int64()).fill_null(LAST), "t": table.column("text").fill_null("")}
+        ids = table.column("doc_id").cast(pa.int64()).fill_null(LAST)
+        texts = table.column("text").fill_null("")
+        indices = pa.compute.sort_indices(
+            pa.table({"i": ids, "t": texts}), [("i", "ascending"), ("t", "ascending")]
         )
-        indices = pa.compute.sort_indices(order, [("i", "ascending"), ("t", "ascending")])
-        order, self.table = order.take(indices), table.take(indices)
-        texts = order.column("t").combine_chunks().cast(pa.large_string())
+        self.table = table.drop_columns(["text"]).take(indices)
+        texts = texts.take(indices).combine_chunks().cast(pa.large_string())
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks)
-        self.ids = order.column("i").to_numpy()
+        self.ids = ids.take(indices).to_numpy()
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)
         offsets = offsets[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
@@ -105,7 +105,6 @@ class Texts:
         gram = gram_size(length)
         window = length - gram + 1
         found: list[tuple[np.ndarray, ...]] = []
-        last_start = np.repeat(self.ends - length, self.ends - self.starts)
         for begin in range(0, len(self.data) - length + 1, _CHUNK):
             end = min(begin + _CHUNK, len(self.data) - length + 1)
             h = _gram_hashes(self.data[begin : end + length - 1], gram)
@@ -116,7 +115,9 @@ class Texts:
                 step *= 2
             if window > step:
                 v = np.minimum(v[: step - window], v[window - step :])
-            start = np.flatnonzero(np.arange(begin, end) <= last_start[begin:end])
+            place = np.arange(begin, end)
+            own = np.searchsorted(self.ends, place, side="right")
+            start = np.flatnonzero(place <= self.ends[own] - length)
             if not len(start):
                 continue
             at = (v[start] & _LOW).astype(np.int64)
@@ -299,19 +300,28 @@ def _sorted_suffixes(
     """(order, opens, same) of items sorted by key: their order by (key, suffix), where keys begin
     in it, and the common prefix of each suffix with the one before (-1 where a key begins)."""
     opens = np.r_[True, key[1:] != key[:-1]][: len(key)]
-    edges = np.flatnonzero(opens).tolist()
     order = np.arange(len(key))
-    same = np.full(len(key), -1, dtype=np.int64)
-    where, ends = position.tolist(), (position + length - least).tolist()
-    for a, b in zip(edges, [*edges[1:], len(where)]):
-        if b == a + 1:
-            continue
-        own = sorted((data[where[i] : ends[i]], i) for i in range(a, b))
-        order[a:b] = [i for _, i in own]
-        same[a + 1 : b] = [common_prefix(x, y, 0) for (x, _), (y, _) in zip(own, own[1:])]
+    same = np.full(len(key), -1, dtype=np.int16)
+    for begin, end in _batches(opens):
+        where = position[begin:end].tolist()
+        ends = (position[begin:end] + length - least[begin:end]).tolist()
+        edges = np.flatnonzero(opens[begin:end]).tolist()
+        for a, b in zip(edges, [*edges[1:], end - begin]):
+            if b == a + 1:
+                continue
+            own = sorted((data[where[i] : ends[i]], i) for i in range(a, b))
+            order[begin + a : begin + b] = [begin + i for _, i in own]
+            same[begin + a + 1 : begin + b] = [
+                common_prefix(x, y, 0) for (x, _), (y, _) in zip(own, own[1:])
+            ]
     return order, opens, same
 
 
+def _befores(data: bytes, position: np.ndarray, most: np.ndarray) -> list[bytes]:
+    """The ``most`` bytes before each position."""
+    return [data[a:b] for a, b in zip((position - most).tolist(), position.tolist())]
+
+
 def _sender(length: int, ranges: int):
     """Sorts a run's suffixes, settles repeats inside it, and front-codes what others may share."""
 
@@ -328,15 +338,17 @@ def _sender(length: int, ranges: int):
         position, key, least, most = texts.anchors(length)
         slot = np.minimum(np.searchsorted(known, key), len(known) - 1)
         kept = known[slot] == key
-        position, key, least, most = (x[kept] for x in (position, key, least, most))
+        position, key = position[kept], key[kept]
+        # Distances are under 256.
+        least, most = least[kept].astype(np.int16), most[kept].astype(np.int16)
         together = min(BLOCK, length)
-        block = np.array([length + 1, together, 1])[often[slot[kept]]]
+        block = np.array([length + 1, together, 1], dtype=np.int16)[often[slot[kept]]]
         first, last = least // block, most // block
         times = last - first + 1
         position, key, least, most, block, first = (
             np.repeat(x, times) for x in (position, key, least, most, block, first)
         )
-        place = first + np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)
+        place = first + (np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int16)
         shift = place * block
         position = position - shift
         least = np.maximum(least - shift, 0)
@@ -345,23 +357,24 @@ def _sender(length: int, ranges: int):
         split = np.flatnonzero(block <= together)
         if len(split):
             # What all strings of the block share lies from the shifted position on.
-            ends = position[split] + length - block[split] + 1
-            shared = [
-                xxhash.xxh64_intdigest(data[a:b])
-                for a, b in zip(position[split].tolist(), ends.tolist())
-            ]
-            key[split] = _mixed(
-                np.array(shared, dtype=np.uint64) + (place[split] + 1).astype(np.uint64) * _ODD
-            )
+            for a in range(0, len(split), BATCH):
+                some = split[a : a + BATCH]
+                ends = position[some] + length - block[some] + 1
+                shared = [
+                    xxhash.xxh64_intdigest(data[x:y])
+                    for x, y in zip(position[some].tolist(), ends.tolist())
+                ]
+                key[some] = _mixed(
+                    np.array(shared, dtype=np.uint64) + (place[some] + 1).astype(np.uint64) * _ODD
+                )
         by_key = np.argsort(key, kind="stable")
         key, position, least, most = (x[by_key] for x in (key, position, least, most))
         order, opens, same = _sorted_suffixes(data, key, position, least, length)
         key, position, least, most = (x[order] for x in (key, position, least, most))
-        where, near, far = position.tolist(), least.tolist(), most.tolist()
         local: list[np.ndarray] = []
         left = most - least + 1
         for a, b in _batches(opens):
-            befores = [data[where[i] - far[i] : where[i]] for i in range(a, b)]
+            befores = _befores(data, position[a:b], most[a:b])
             # In a run, documents lie in their order.
             item, back = covered(
                 same[a:b], position[a:b] * (length + 1) + most[a:b],
@@ -370,7 +383,6 @@ def _sender(length: int, ranges: int):
             local.append(position[a + item] - back)
             np.subtract.at(left, a + item, 1)
         index = np.flatnonzero(left > 0)
-        sent = index.tolist()
         ids = texts.ids[np.minimum(np.searchsorted(texts.ends, position, side="right"), len(texts.ids) - 1)]
         rows = []
         if any(map(len, local)):
@@ -381,17 +393,17 @@ def _sender(length: int, ranges: int):
         for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
             if b == a:
                 continue
-            prefixes, tails, befores = bytearray(), [], []
+            prefixes, tails = bytearray(), []
             previous = b""
             previous_key = -1
-            for i, k in zip(sent[a:b], key[index[a:b]].tolist()):
-                suffix = data[where[i] : where[i] + length - near[i]]
+            chosen = index[a:b]
+            ends = position[chosen] + length - least[chosen]
+            for x, y, k in zip(position[chosen].tolist(), ends.tolist(), key[chosen].tolist()):
+                suffix = data[x:y]
                 same = common_prefix(previous, suffix, 0) if k == previous_key else 0
                 prefixes.append(same)
                 tails.append(suffix[same:])
-                befores.append(data[where[i] - far[i] : where[i]])
                 previous, previous_key = suffix, k
-            chosen = index[a:b]
             rows.append(
                 (
                     r,
@@ -405,7 +417,7 @@ def _sender(length: int, ranges: int):
                         most[chosen].astype("u1"),
                         bytes(prefixes),
                         b"".join(tails),
-                        b"".join(befores),
+                        b"".join(_befores(data, position[chosen], most[chosen])),
                     ),
                 )
             )
@@ -420,9 +432,10 @@ class Slice:
     def __init__(self, number: int, blob: bytes, length: int):
         keys, ids, positions, least, most, prefixes, self.tails, self.befores = _unsqueezed(blob)
         self.run, self.length = number, length
-        self.keys = np.cumsum(np.frombuffer(keys, dtype="<u8"), dtype=np.uint64).tolist()
-        self.ids = np.frombuffer(ids, dtype="<i8").tolist()
-        self.positions = np.frombuffer(positions, dtype="<i8").tolist()
+        # Views give whole numbers of Python, and take 8 bytes for each.
+        self.keys = memoryview(np.cumsum(np.frombuffer(keys, dtype="<u8"), dtype=np.uint64))
+        self.ids = memoryview(np.frombuffer(ids, dtype="<i8"))
+        self.positions = memoryview(np.frombuffer(positions, dtype="<i8"))
         self.least, self.most, self.prefixes = least, most, prefixes
         self.at, self.tail_at, self.before_at, self.suffix = -1, 0, 0, b""
 
@@ -543,6 +556,24 @@ def _merger(length: int):
     return run
 
 
+def _marked(covered: pa.Table, size: int) -> np.ndarray:
+    """Whether each of ``size`` bytes lies in a range of any blob."""
+    begins, ends = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for blob in covered.column("blob"):
+        starts, sizes = (np.frombuffer(x, dtype="<i8") for x in _unsqueezed(blob.as_py()))
+        begins.append(np.cumsum(starts))
+        ends.append(begins[-1] + sizes)
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    order = np.argsort(begin)
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    opens = np.r_[True, begin[1:] > reach[:-1]][: len(begin)]
+    # Ranges that neither overlap nor touch, so the sums are 0 or 1.
+    change = np.zeros(size + 1, dtype=np.int8)
+    change[begin[opens]] = 1
+    change[reach[np.r_[opens[1:], True][: len(reach)]]] = -1
+    return np.cumsum(change[:-1], dtype=np.int8).view(bool)
+
+
 def _cutter(schema: pa.Schema, with_text: bool):
     """Takes the covered bytes out of a run's documents."""
 
@@ -550,13 +581,7 @@ def _cutter(schema: pa.Schema, with_text: bool):
         if not table.num_rows:
             return schema.empty_table()
         texts = Texts(table)
-        change = np.zeros(len(texts.data) + 1, dtype=np.int32)
-        for blob in covered.column("blob"):
-            starts, sizes = (np.frombuffer(x, dtype="<i8") for x in _unsqueezed(blob.as_py()))
-            starts = np.cumsum(starts)
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + sizes, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = _marked(covered, len(texts.data))
         rows = []
         for a, b in zip(texts.starts.tolist(), texts.ends.tolist()):
             own, bytes_ = gone[a:b], texts.data[a:b]

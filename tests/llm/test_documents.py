@@ -533,3 +533,42 @@ def test_more_copies_than_hash_bits_tell_apart(spark, monkeypatch):
     dealt = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string"), limit=150).collect()
     assert len(dealt) == len(rows)
     check_shards(dealt, 150)
+
+
+def test_a_run_takes_few_bytes_of_memory_for_each_byte_of_text(monkeypatch):
+    """Work on a run of the suffix sort holds no column of whole numbers for all its bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "_CHUNK", 1 << 14)
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(1000)]
+    table = pa.table({
+        "run": pa.array([0] * len(texts), pa.int32()), "doc_id": pa.array(range(len(texts)), pa.int64()),
+        "text": texts, "rest": pa.array([None] * len(texts), pa.int32()),
+    })
+    size = sum(map(len, texts))
+    # The first half of each text, in two blobs with ranges that overlap and touch.
+    starts = np.arange(0, size, 4000)
+    covered = pa.table({"blob": pa.array([
+        suffixes._span_blob(np.concatenate([starts, starts + 500]), 1000),
+        suffixes._span_blob(starts + 1500, 500),
+    ], pa.binary())})
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("rest", pa.int32()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
+        ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()),
+    ])
+    peaks = []
+    for work in (
+        lambda: suffixes.Texts(table).anchors(100),
+        lambda: suffixes._cutter(schema, False)(table, covered),
+    ):
+        tracemalloc.start()
+        try:
+            found = work()
+            peaks.append(tracemalloc.get_traced_memory()[1] / size)
+        finally:
+            tracemalloc.stop()
+    assert set(found["n_removed"].to_pylist()) == {2000} and set(found["n_spans"].to_pylist()) == {1}
+    assert max(peaks) < 6, peaks
